@@ -99,7 +99,7 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data, off - off[0])
 
 
-def text_map(df: DataFrame, columns: list[str], make: Callable, schema: str) -> DataFrame:
+def text_map(df: DataFrame, columns: list[str], make: Callable, schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with `make()` once a task; what it returns maps a slice of the batch to a list of Arrow arrays.
 
     `columns` are selected by name, the text last, so extra columns of the input never meet the operator's own.
@@ -109,13 +109,50 @@ def text_map(df: DataFrame, columns: list[str], make: Callable, schema: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in chunks(batch, len(columns) - 1):
+            for part in chunks(batch, len(columns) - 1, limit):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in step(part)], names)
 
     picked = df.select(*columns[:-1], F.col(columns[-1]).cast("string").alias(columns[-1]))
     return picked.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, text: str, make: Callable) -> DataFrame:
+    """The rows for which `make()`'s function of a slice of the text column says True, all columns unchanged."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for part in chunks(batch, at):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_columns(df: DataFrame, text: str | None, make: Callable, schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
+    """All columns of df, then those of `schema`, which `make()`'s function gives for each slice of a batch.
+
+    Slices hold about `limit` bytes of the text column, or `limit` rows if there is none.
+    """
+    new = [x.split()[0].strip("`") for x in _split_schema(schema)]
+    if clash := {x.lower() for x in new} & {x.lower() for x in df.columns}:
+        raise ValueError(f"columns that are there already: {sorted(clash)}")
+    at = None if text is None else df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            parts = chunks(batch, at, limit) if at is not None else (batch.slice(k, limit) for k in range(0, batch.num_rows, limit))
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([*part.columns, *step(part)], [*part.schema.names, *new])
+
+    return df.mapInArrow(run, f"{_ddl(df)}, {schema}")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def _split_schema(schema: str) -> list[str]:
     out, depth, last = [], 0, ""
     for ch in schema:

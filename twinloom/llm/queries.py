@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm import common as C
-from twinloom.llm import language, licenses, quality, toxicity, wordpiece
+from twinloom.llm import decontaminate, language, licenses, pieces, quality, simhash, toxicity, wordpiece
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 LABEL_FOLD, LANGUAGE_FOLD = (5, 0), (3, 1)
@@ -35,10 +35,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), TOXIC_AT, "n_clauses", "worst")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(C.documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(C.documents(spark, sf_dir)))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(C.documents(spark, sf_dir), pieces.load(PIECES))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(C.documents(spark, sf_dir), wordpiece.pieces_of(PIECES))
 
@@ -50,6 +63,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op5_licenses, op7_token_counts, op9_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_simhash, op5_licenses, op6_pieces, op7_token_counts, op9_language)}
 
 ORACLE_SQL: dict[str, str] = {}
