@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm import common as C
-from twinloom.llm import decontaminate, language, licenses, pieces, quality, simhash, toxicity, wordpiece
+from twinloom.llm import decontaminate, language, licenses, lines, pieces, quality, simhash, toxicity, wordpiece
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 LABEL_FOLD, LANGUAGE_FOLD = (5, 0), (3, 1)
@@ -63,6 +63,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_simhash, op5_licenses, op6_pieces, op7_token_counts, op9_language)}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(C.documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return found.select("doc_id", "n_lines", "n_gone", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_simhash, op5_licenses, op6_pieces, op7_token_counts, op9_language, op10_lines)}
 
 ORACLE_SQL: dict[str, str] = {}
