@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm import common as C
-from twinloom.llm import decontaminate, language, licenses, lines, pieces, quality, simhash, toxicity, wordpiece
+from twinloom.llm import decontaminate, language, licenses, lines, pieces, quality, simhash, spotsigs, toxicity, wordpiece
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 LABEL_FOLD, LANGUAGE_FOLD = (5, 0), (3, 1)
@@ -56,6 +56,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(C.documents(spark, sf_dir), wordpiece.pieces_of(PIECES))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_with_next(C.documents(spark, sf_dir))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
     held = C.fold(F.col("doc_id"), *LANGUAGE_FOLD)
@@ -68,6 +72,6 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_gone", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_simhash, op5_licenses, op6_pieces, op7_token_counts, op9_language, op10_lines)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_simhash, op5_licenses, op6_pieces, op7_token_counts, op8_fingerprints, op9_language, op10_lines)}
 
 ORACLE_SQL: dict[str, str] = {}
