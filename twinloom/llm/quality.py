@@ -176,3 +176,19 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         return step
 
     return C.text_map(df, [key, text], make, f"{key} {C.type_of(df, key)}, score double, n_passages long, top_passage long")
+
+
+def keep_good(df: DataFrame, model: Model, at: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows that score `at` or more, all columns unchanged."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = shared.value
+
+        def keep(column: pa.Array) -> np.ndarray:
+            x, first = passages(C.texts_of(column.fill_null("")))
+            return m.forward(x.astype(np.float64), first)["score"] >= at
+
+        return keep
+
+    return C.filter_rows(df, text, make)
