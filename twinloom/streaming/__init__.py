@@ -1,0 +1,9 @@
+"""Stateful streams. Their processors run over batches too, which need the session's stream manager to be up."""
+
+from pyspark.sql import DataFrame
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """df, with the stream manager (and with it the coordinator of state stores) started."""
+    df.sparkSession.streams.active  # noqa: B018
+    return df

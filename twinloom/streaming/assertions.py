@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from twinloom.operators import relations, rules
+from twinloom.streaming import ready
 
 KEY = relations.KEY
 SETS = "sid string, st string, si string, dt string, ts long, di array<string>, ttl array<long>, exp array<long>"
@@ -99,7 +100,7 @@ def set_stream(assertions: DataFrame, order: list[str], mode: str = "None", expi
     mode "EventTime" with expire lets relations go when the watermark passes their expiry.
     """
     rows = assertions.select(*KEY, "di", "ttl", "exp", *order, *(["ts"] if mode == "EventTime" else []))
-    return rows.groupBy(*KEY).transformWithStateInPandas(SetProcessor(order, expire), outputStructType=SETS, outputMode="Update", timeMode=mode)
+    return ready(rows).groupBy(*KEY).transformWithStateInPandas(SetProcessor(order, expire), outputStructType=SETS, outputMode="Update", timeMode=mode)
 
 
 def as_sets(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from twinloom.streaming import ready
+
 OUT = "chain_id string, sequence long, verdict string, frontier long, taint_size long"
 
 
@@ -99,4 +101,4 @@ class ChainProcessor(StatefulProcessor):
 
 def receive_stream(rows: DataFrame, mode: str = "None", **options) -> DataFrame:
     """Verdicts of a stream (or a batch) of chain rows: one shuffle on chain_id."""
-    return rows.select("chain_id", "sequence", "kind", "recovery", "arrival").groupBy("chain_id").transformWithStateInPandas(ChainProcessor(**options), outputStructType=OUT, outputMode="Append", timeMode=mode)
+    return ready(rows).select("chain_id", "sequence", "kind", "recovery", "arrival").groupBy("chain_id").transformWithStateInPandas(ChainProcessor(**options), outputStructType=OUT, outputMode="Append", timeMode=mode)
