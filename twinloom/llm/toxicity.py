@@ -40,6 +40,7 @@ _SPACED = bytes(b if b >= 128 or chr(b).isalpha() or b == 39 else 32 for b in ra
 
 #: What each transducer multiplies the weight of a match by, and for how many words it holds.
 NEGATED, REPORTED, TARGETED, REACH = 0.4, 0.5, 1.3, 3
+FEATURES = 6
 
 
 class Transducer:
@@ -213,8 +214,8 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         return out
 
     rows = C.text_map(sample.select("k", "y", half.alias("h"), "t"), ["k", "y", "h", "t"], lambda: _featured([lexicon((1,)), lexicon((0,))]), "y int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows], float)
-    w, b = _logistic(x if len(rows) else np.zeros((0, 6)), y)
+    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES), np.array([r["y"] for r in rows], float)
+    w, b = _logistic(x, y)
     return Model(*lexicon((0, 1)), w, b)
 
 
