@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinloom.llm import common as C
 from twinloom.llm import decontaminate, language, licenses, lines, pieces, quality, simhash, spotsigs, toxicity, wordpiece
+from twinloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 LABEL_FOLD, LANGUAGE_FOLD = (5, 0), (3, 1)
@@ -36,7 +37,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.leaks(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("bm25", F.round("bm25", 3))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +75,3 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontamination, op4_simhash, op5_licenses, op6_pieces, op7_token_counts, op8_fingerprints, op9_language, op10_lines)}
-
-ORACLE_SQL: dict[str, str] = {}
