@@ -58,6 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 
@@ -132,11 +140,11 @@ def filter_rows(df: DataFrame, text: str, make: Callable) -> DataFrame:
 def with_columns(df: DataFrame, text: str | None, make: Callable, schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """All columns of df, then those of `schema`, which `make()`'s function gives for each slice of a batch.
 
+    df must not have columns of these names: see without().
+
     Slices hold about `limit` bytes of the text column, or `limit` rows if there is none.
     """
     new = [x.split()[0].strip("`") for x in _split_schema(schema)]
-    if clash := {x.lower() for x in new} & {x.lower() for x in df.columns}:
-        raise ValueError(f"columns that are there already: {sorted(clash)}")
     at = None if text is None else df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +157,20 @@ def with_columns(df: DataFrame, text: str | None, make: Callable, schema: str, l
     return df.mapInArrow(run, f"{_ddl(df)}, {schema}")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, whatever their case: an operator's own columns replace them."""
+    own = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in own))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

@@ -279,7 +279,8 @@ def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def encode(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", name: str = "piece_ids") -> DataFrame:
-    """All columns of df, then `name`: the sampled ids (array of int)."""
+    """All columns of df, then `name`: the sampled ids (array of int). A column of that name is replaced."""
+    df = C.without(df, name)
     shared = df.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size
     at, by = df.columns.index(text), df.columns.index(key)
 
@@ -296,7 +297,8 @@ def encode(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
 
 def decode(df: DataFrame, model: Model, name: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """All columns of df, then `to`: the text of the ids. A null list gives null."""
+    """All columns of df, then `to`: the text of the ids. A null list gives null. A column of that name is replaced."""
+    df = C.without(df, to)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(name)
 
