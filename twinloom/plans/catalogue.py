@@ -223,9 +223,8 @@ def _nation_suppliers(spark, sf_dir) -> DataFrame:
 def route_cross_product(spark, sf_dir):
     """Two relation sets: all combinations of a user's types and suppliers."""
     rel = keyed(user_edges(spark, sf_dir)).select("key", "di").unionByName(_nation_suppliers(spark, sf_dir))
-    m = observations(spark, sf_dir).where(F.col("event_id") % 10 == 0)
     r = _route("x.${types}.y.${suppliers}.z.${5}", types=USER_TYPES, suppliers="twin.sol.${2}.r.kv.user.${5}.supplier.set")
-    return routes.expand(m, r, rel).select("event_id", "egress")
+    return routes.expand(observations(spark, sf_dir), r, rel).select("event_id", "egress")
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
