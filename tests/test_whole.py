@@ -15,3 +15,24 @@ def whole(spark, name, *filters):
 
 def test_cross_product_of_all_messages(spark):
     assert whole(spark, "route_cross_product", (" where event_id % 10 = 0", "")) == ""
+
+
+def test_zero_defaults_of_all_orders(spark):
+    assert whole(spark, "zero_defaults", ("(select * from orders where o_orderkey % 50 = 0)", "orders")) == ""
+
+
+def test_zero_defaults_without_orders(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, 1, 2.5, "F")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in QUERIES["zero_defaults"](spark, str(tmp_path)).select("c_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "absent").collect()}
+    assert got == {(1, 7, 2.5, "F", 0), (2, None, 0.0, "", 0)}
+
+
+def test_full_outer_of_all_nations(spark):
+    assert whole(spark, "full_outer", (" where c_nationkey % 3 <> 0", "")) == ""
+
+
+def test_full_outer_unmatched(spark, tmp_path):
+    spark.createDataFrame([(3,), (3,), (4,)], "c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3,), (6,)], "s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {tuple(r) for r in QUERIES["full_outer"](spark, str(tmp_path)).select("k", "customers", "suppliers").collect()} == {(3, 2, 1), (4, 1, None), (6, None, 1)}
