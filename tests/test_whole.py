@@ -36,3 +36,7 @@ def test_full_outer_unmatched(spark, tmp_path):
     spark.createDataFrame([(3,), (3,), (4,)], "c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(3,), (6,)], "s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {tuple(r) for r in QUERIES["full_outer"](spark, str(tmp_path)).select("k", "customers", "suppliers").collect()} == {(3, 2, 1), (4, 1, None), (6, None, 1)}
+
+
+def test_subject_match_of_all_events(spark):
+    assert whole(spark, "subject_match", (" where one or exact or short or event_id % 2 = 0", "")) == ""
