@@ -1,6 +1,7 @@
 """Queries that answer for all rows of their tables, against their SQL without its row filter."""
 
 from oracle import differences
+from twinloom.operators import tabulate
 from twinloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,14 @@ def test_full_outer_unmatched(spark, tmp_path):
 
 def test_subject_match_of_all_events(spark):
     assert whole(spark, "subject_match", (" where one or exact or short or event_id % 2 = 0", "")) == ""
+
+
+def test_superset_of_all_sizes(spark):
+    assert whole(spark, "view_superset", ("len(x.m) >= 3 and len(y.m) = 2 and ", "")) == ""
+
+
+def test_superset_pairs_of_small_sets(spark):
+    sets = {"p": "", "q": "a", "r": "ab", "s": "ba", "t": "abc", "u": "d", "v": "abcd"}
+    df = spark.createDataFrame([(k, list(m)) for k, m in sets.items()], "k string, members array<string>")
+    got = [tuple(r) for r in tabulate.superset_pairs(df, df.where("size(members) > 0"), "k", "members").collect()]
+    assert sorted(got) == sorted((x, y) for x, m in sets.items() for y, n in sets.items() if n and set(n) <= set(m))

@@ -298,8 +298,7 @@ def view_containment(spark, sf_dir):
 @query
 def view_superset(spark, sf_dir):
     sets = user_sets(spark, sf_dir).select(F.col("si").alias("k"), F.transform("r", lambda x: x["di"]).alias("members"))
-    b = sets.where(F.size("members") == 2)
-    return tabulate.superset_pairs(sets.where(F.size("members") >= 3), b, "k", "members")
+    return tabulate.superset_pairs(sets, sets.where(F.size("members") > 0), "k", "members")
 
 
 @query
