@@ -1,0 +1,25 @@
+"""What must not depend on the size of a block, the length of a unit or the words that follow."""
+
+import numpy as np
+
+from twinloom.llm import common, decontaminate
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_index_blocks_give_the_same_scores(spark, monkeypatch):
+    docs, items = common.documents(spark, SF), spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = lambda: {tuple(r) for r in decontaminate.leaks(docs, items).collect()}
+    kept = lambda: {r.doc_id for r in decontaminate.clean_rows(docs, items).collect()}
+    whole, left = found(), kept()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2000)
+    assert len(list(decontaminate.item_blocks(items))) > 1
+    assert found() == whole and kept() == left
+
+
+def test_statistics_of_blocks():
+    items = [(1, "one two two", "three"), (2, "two", ""), (3, "", "")]
+    whole = decontaminate.statistics([items])
+    blocks = decontaminate.statistics([items[:1], items[1:]])
+    assert whole[0] == 3 and whole[1] == 5 / 3 and sorted(whole[3].tolist()) == [1, 1, 2]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, blocks, strict=True))

@@ -9,14 +9,15 @@ answer's words.
 An item without an answer column has its last sentence as answer (or its last third, if it is one sentence). Items
 without words never match; items of fewer than five words match as a whole. Null and empty texts have no passage.
 The index is built per block of items of at most INDEX_BYTES of text, and each block is broadcast in turn, so a
-larger test set means more passes and not a larger broadcast.
+larger test set means more passes and not a larger broadcast. Item count, mean length and document frequencies are those
+of all items, so that scores and thresholds don't depend on the blocks.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,19 +61,48 @@ def _hashes(text: str) -> np.ndarray:
     return C.words(C.Texts(raw, np.array([0, len(raw)])), _TABLE)[1]
 
 
+#: Number of items, their mean number of words, and words (sorted hashes) with the number of items that have them.
+Statistics = tuple[int, float, np.ndarray, np.ndarray]
+
+
+def _terms(block: list[tuple[object, str, str]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    words = [np.concatenate([_hashes(q), _hashes(s)]) for _, q, s in block]
+    return [len(w) for w in words], *np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, words)]), return_counts=True)
+
+
+def statistics(blocks: Iterable[list[tuple[object, str, str]]]) -> Statistics:
+    """Of the items of all blocks."""
+    items, size, vocabulary, df = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for block in blocks:
+        sizes, terms, counts = _terms(block)
+        items, size = items + len(sizes), size + sum(sizes)
+        vocabulary, at = np.unique(np.concatenate([vocabulary, terms]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, counts]), len(vocabulary)).astype(np.int64)
+    return items, max(1.0, size / max(1, items)), vocabulary, df
+
+
+def of_block(block: list[tuple[object, str, str]], of_all: Statistics) -> Statistics:
+    """of_all with the block's words alone."""
+    items, mean, vocabulary, df = of_all
+    own = _terms(block)[1]
+    return items, mean, own, df[np.searchsorted(vocabulary, own)]
+
+
 class Index:
-    """Postings with impacts as shares of the item's threshold, so that 1 is every item's threshold."""
+    """Postings with impacts as shares of the item's threshold, so that 1 is every item's threshold.
+
+    The statistics are those of all items if these are one of several blocks.
+    """
 
-    def __init__(self, items: list[tuple[object, str, str]]):
+    def __init__(self, items: list[tuple[object, str, str]], of_all: Statistics | None = None):
         self.ids = [i for i, _, _ in items]
         self.question, self.answer = ([_hashes(x[k]) for x in items] for k in (1, 2))
         self.words = [np.concatenate(x) for x in zip(self.question, self.answer, strict=True)]
         self.shingles = [np.unique(shingles(w)) for w in self.words]
         sizes = np.array([len(w) for w in self.words], float)
-        mean = max(1.0, sizes.mean()) if len(sizes) else 1.0
+        n, mean, self.vocabulary, df = of_all or statistics([items])
         terms = [np.unique(w, return_counts=True) for w in self.words]
-        self.vocabulary, df = np.unique(np.concatenate([t for t, _ in terms]), return_counts=True) if items else (np.zeros(0, np.uint64), np.zeros(0))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.postings: list[list[int]] = [[] for _ in self.vocabulary]
         self.impacts: list[list[float]] = [[] for _ in self.vocabulary]
         self.scale = np.ones(len(items))
@@ -185,16 +215,22 @@ def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> I
         yield [(r["k"], r["q"], r["s"]) if given else (r["k"], *split_item(r["q"])) for r in block]
 
 
+def _shared_blocks(df: DataFrame, items: DataFrame, key: str, text: str) -> Iterator:
+    """Each block with its statistics, broadcast."""
+    of_all = statistics(item_blocks(items, key, text))
+    for block in item_blocks(items, key, text):
+        yield df.sparkSession.sparkContext.broadcast((block, of_block(block, of_all)))
+
+
 def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per text and item that it leaks: key, item_id, bm25, contained, question_overlap, answer_overlap."""
-    sc, out = df.sparkSession.sparkContext, None
+    out = None
     schema = f"{key} {C.type_of(df, key)}, item_id {C.type_of(items, item_key)}, bm25 double, contained double, question_overlap double, answer_overlap double"
     kinds = items.select(item_key).limit(0).toArrow().schema.field(0).type
-    for block in item_blocks(items, item_key, item_text):
-        shared = sc.broadcast(block)
+    for shared in _shared_blocks(df, items, item_key, item_text):
 
         def make(shared=shared):
-            index = Index(shared.value)
+            index = Index(*shared.value)
 
             def step(part: pa.RecordBatch):
                 _, h, per = C.words(C.texts_of(part.column(1).fill_null("")), _TABLE)
@@ -211,11 +247,10 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
 
 def clean_rows(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """df without the rows that leak an item; all columns as they are."""
-    for block in item_blocks(items, item_key, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(block)
+    for shared in _shared_blocks(df, items, item_key, item_text):
 
         def make(shared=shared):
-            index = Index(shared.value)
+            index = Index(*shared.value)
 
             def keep(column: pa.Array) -> list[bool]:
                 _, h, per = C.words(C.texts_of(column.fill_null("")), _TABLE)
