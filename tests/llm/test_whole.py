@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from twinloom.llm import common, decontaminate
+from twinloom.llm import common, decontaminate, licenses
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,26 @@ def test_statistics_of_blocks():
     blocks = decontaminate.statistics([items[:1], items[1:]])
     assert whole[0] == 3 and whole[1] == 5 / 3 and sorted(whole[3].tolist()) == [1, 1, 2]
     assert all(np.array_equal(a, b) for a, b in zip(whole, blocks, strict=True))
+
+
+def scanned(scanner, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return scanner.scan(scanner.lookup(common.words(common.Texts(raw, np.array([0, len(raw)])), licenses._TABLE)[1]))
+
+
+def test_short_template_within_a_longer_match():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE_PHRASES)
+    notice = 'Licensed under the Apache License, Version 2.0 (the "License"). See LICENSE'
+    for text, first in ((notice, 0), ("zz licensed under the apache license version 2 0 the zz", 1)):
+        assert [(scanner.names[k], a, b, c) for k, a, b, c in scanned(scanner, text)[1]] == [("apache-2.0", first, first + 7, 1.0)]
+
+
+def test_whole_templates_are_found():
+    """All templates that stand whole in random texts, however the others go on."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        templates = {str(i): [" ".join(rng.choice(list("abc"), rng.integers(1, 9)))] for i in range(5)}
+        scanner = licenses.Scanner(templates, {})
+        text = " ".join(rng.choice(list("abcz"), 40, p=[0.32, 0.32, 0.32, 0.04]))
+        found = {scanner.names[k] for k, *_, share in scanned(scanner, text)[1] if share == 1.0}
+        assert found >= {i for i, (t,) in templates.items() if f" {t} " in f" {text} "}

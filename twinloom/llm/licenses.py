@@ -1,8 +1,10 @@
 """License scans: generalised suffix automaton of licence tokens.
 
 The tokens of all templates and phrases go into one suffix automaton. A text streams through it once: after each
-word the automaton holds the longest stretch of template tokens that ends there (matching statistics). Long matches
-are chained along each template into covered spans; a template with enough of its tokens covered gives its label.
+word the automaton holds the longest stretch of template tokens that ends there (matching statistics). The longest
+stretch of each single template is the first state along suffix links that it has a place in; those that the next word
+doesn't lengthen are chained along each template into covered spans, whatever longer stretch another template has there.
+A template with enough of its tokens covered gives its label.
 Whole phrases are the automaton's accepting states, met along suffix links at every word.
 
 Null and empty texts give counts 0, null places, empty labels and score 0.
@@ -162,7 +164,12 @@ class Scanner:
         self.ids, self.n_base = ids.astype(np.int64), len(phrases)
         index = {w: i for i, w in enumerate(vocabulary)}
         self.sequences = [[index[w] for w in s] for s in split]
-        self.automaton = SuffixAutomaton(self.sequences)
+        self.automaton = a = SuffixAutomaton(self.sequences)
+        #: Of each state: by template, the state of its longest stretch that ends there, from LONG_MATCH tokens.
+        self.held: list[dict[int, int]] = [{} for _ in a.next]
+        for v in sorted(range(1, len(a.next)), key=a.longest.__getitem__):
+            if a.longest[v] >= LONG_MATCH:
+                self.held[v] = self.held[a.link[v]] | {k: v for k, _ in a.places[v] if k >= self.n_base}
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -176,7 +183,7 @@ class Scanner:
             return [], []
         cuts = np.flatnonzero(np.diff(known) > 1) + 1
         for run in np.split(known, cuts):
-            at, last = int(run[0]), None
+            at, before = int(run[0]), {}
             for i, (v, n) in enumerate(a.statistics(ids[run].tolist())):
                 for k, m in a.ending[v]:
                     if m <= n:
@@ -184,11 +191,13 @@ class Scanner:
                             base.append((k, at + i - m + 1))
                         elif m < LONG_MATCH:
                             long_.setdefault(k, []).append((at + i - m + 1, 0, m))
-                if last is not None and n <= last[1]:  # the match before was maximal
-                    self._long(long_, at, *last)
-                last = (v, n, i)
-            if last is not None:
-                self._long(long_, at, *last)
+                now = {k: (u, n if u == v else a.longest[u], i) for k, u in self.held[v].items()} if n >= LONG_MATCH else {}
+                for k, x in before.items():
+                    if k not in now or now[k][1] <= x[1]:  # the match before was maximal
+                        self._long(long_, at, k, *x)
+                before = now
+            for k, x in before.items():
+                self._long(long_, at, k, *x)
         found = []
         for k, hits in long_.items():
             covered = np.zeros(len(self.sequences[k]), bool)
@@ -205,11 +214,8 @@ class Scanner:
                 found.append((k, best[1], best[2], best[0]))
         return base, found
 
-    def _long(self, long_: dict, at: int, v: int, n: int, i: int) -> None:
-        if n >= LONG_MATCH:
-            for k, end in self.automaton.places[v]:
-                if k >= self.n_base:
-                    long_.setdefault(k, []).append((at + i - n + 1, end - n + 1, n))
+    def _long(self, long_: dict, at: int, k: int, v: int, n: int, i: int) -> None:
+        long_.setdefault(k, []).extend((at + i - n + 1, end - n + 1, n) for j, end in self.automaton.places[v] if j == k)
 
 
 def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES) -> DataFrame:
