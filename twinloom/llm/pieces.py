@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding: forward-filtering backward-sampling over the piece lattice.
 
-A text is cut at spaces and line ends into units; a unit's lattice has an edge for every piece that matches inside it.
-Forward filtering sums the weights of all segmentations up to each place; backward sampling then draws one
+A text is cut before runs of spaces and at line ends into units; a unit's lattice has an edge for every piece that
+matches inside it, and no piece of the model reaches over its ends. Forward filtering sums the weights of all
+segmentations up to each place, as a number and a power of two, for units of any length; backward sampling then draws one
 segmentation from its end, each draw from a counter-based generator seeded by the row's key and the unit's place. The
 same key and text always give the same pieces, on any partitioning.
 
 Spaces become the mark U+2581 and a mark is put in front of the text, as the public models expect. Characters without a
 piece (line ends and a literal U+2581 too) are spelled in byte pieces, so decoding gives back every text exactly.
-Units of over UNIT characters are cut after each UNIT-th. Null texts count as empty; an empty text has no pieces. Rows
+Null texts count as empty; an empty text has no pieces. Rows
 with the same key and text get the same pieces.
 
 All of a chunk's lattices are built and sampled together in numpy, over its distinct units; the trie is a double array.
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 
 from twinloom.llm import common as C
 
-MARK, UNIT, FALLBACK = "▁", 32, 1e-6
+MARK, FALLBACK = "▁", 1e-6
 CHUNK = 2 << 20
 
-_UNITS = re.compile(r" [^ \n]*|[^ \n]+|\n")
+_UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _GOLDEN, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -55,7 +56,7 @@ def load(path: str, alpha: float = 1.0) -> Model:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     pieces = [sp.id_to_piece(i) for i in range(n)]
-    plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and MARK not in pieces[i][1:]]
+    plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and MARK not in pieces[i].lstrip(MARK)]
     rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
     weight = np.zeros(n)
     weight[list(rank)] = (np.array(list(rank.values())) + 10.0) ** -alpha
@@ -126,7 +127,7 @@ class Sampler:
         self.mark = int(model.code[ord(MARK)])
 
     def lattice(self, units: list[str]) -> dict[str, np.ndarray]:
-        """Of distinct units: nodes (one more than characters), their incoming edges, and the filtered sums."""
+        """Of distinct units: nodes (one more than characters), their incoming edges, and the filtered sums, each node's over a power of two of its own."""
         m = self.m
         cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = np.fromiter(map(len, units), np.int64, len(units))
@@ -179,20 +180,25 @@ class Sampler:
         source[slot] = to - back
         weight = np.where(pieces >= 0, m.weight[np.maximum(pieces, 0)], FALLBACK)
         total, running = np.zeros(n_nodes), np.empty(len(to))
+        part, power = np.zeros(n_nodes), np.zeros(n_nodes, np.int64)  # the sums of all segmentations are part * 2 ** power
         head = first + np.arange(len(units))
-        total[head] = 1.0
+        part[head] = 1.0
         longest_first = np.argsort(-length, kind="stable")
         heads, lengths = head[longest_first], length[longest_first]
         for p in range(1, int(length.max(initial=0)) + 1):
             nodes = heads[: int(np.searchsorted(-lengths, -p, side="right"))] + p
             d, s = degree[nodes], start[nodes]
             sums = np.zeros(len(nodes))
-            for r in range(int(d.max(initial=0))):
-                more = np.flatnonzero(d > r)
-                edge = s[more] + r
-                sums[more] += total[source[edge]] * weight[edge]
+            edges = [(more, s[more] + r) for r in range(int(d.max(initial=0))) for more in (np.flatnonzero(d > r),)]
+            top = power[source[s]]
+            for more, edge in edges[1:]:
+                top[more] = np.maximum(top[more], power[source[edge]])
+            for more, edge in edges:
+                sums[more] += np.ldexp(part[source[edge]], power[source[edge]] - top[more]) * weight[edge]
                 running[edge] = sums[more]
             total[nodes] = sums
+            part[nodes], shift = np.frexp(sums)
+            power[nodes] = top + shift
         return {"head": head, "tail": head + length, "start": start, "piece": pieces, "source": source, "running": running, "total": total}
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +207,6 @@ class Sampler:
         occ, per = [], np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
             got = _UNITS.findall(" " + t) if t else []
-            if len(t) > UNIT and max(map(len, got)) > UNIT:
-                got = [u[k : k + UNIT] for u in got for k in range(0, len(u), UNIT)]
             occ.append(np.fromiter(map(ids.__getitem__, got), np.int64, len(got)))
             per[i + 1] = per[i] + len(got)
         unit = np.concatenate(occ) if occ else np.zeros(0, np.int64)
