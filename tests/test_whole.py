@@ -1,25 +1,7 @@
-"""Queries that answer for all rows of their tables, against their SQL without its row filter."""
+"""Rows that the given tables lack: joins without a match, sets of every size."""
 
-from oracle import differences
 from twinloom.operators import tabulate
-from twinloom.plans.catalogue import ORACLE_SQL, QUERIES
-
-SF = "/root/testdata/sf0.001"
-
-
-def whole(spark, name, *filters):
-    sql = ORACLE_SQL[name]
-    for old, new in filters:
-        sql = sql.replace(old, new)
-    return differences(spark, SF, QUERIES[name], sql)
-
-
-def test_cross_product_of_all_messages(spark):
-    assert whole(spark, "route_cross_product", (" where event_id % 10 = 0", "")) == ""
-
-
-def test_zero_defaults_of_all_orders(spark):
-    assert whole(spark, "zero_defaults", ("(select * from orders where o_orderkey % 50 = 0)", "orders")) == ""
+from twinloom.plans.catalogue import QUERIES
 
 
 def test_zero_defaults_without_orders(spark, tmp_path):
@@ -29,24 +11,12 @@ def test_zero_defaults_without_orders(spark, tmp_path):
     assert got == {(1, 7, 2.5, "F", 0), (2, None, 0.0, "", 0)}
 
 
-def test_full_outer_of_all_nations(spark):
-    assert whole(spark, "full_outer", (" where c_nationkey % 3 <> 0", "")) == ""
-
-
 def test_full_outer_unmatched(spark, tmp_path):
     spark.createDataFrame([(3,), (3,), (4,)], "c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(3,), (6,)], "s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {tuple(r) for r in QUERIES["full_outer"](spark, str(tmp_path)).select("k", "customers", "suppliers").collect()} == {(3, 2, 1), (4, 1, None), (6, None, 1)}
 
 
-def test_subject_match_of_all_events(spark):
-    assert whole(spark, "subject_match", (" where one or exact or short or event_id % 2 = 0", "")) == ""
-
-
-def test_superset_of_all_sizes(spark):
-    assert whole(spark, "view_superset", ("len(x.m) >= 3 and len(y.m) = 2 and ", "")) == ""
-
-
 def test_superset_pairs_of_small_sets(spark):
     sets = {"p": "", "q": "a", "r": "ab", "s": "ba", "t": "abc", "u": "d", "v": "abcd"}
     df = spark.createDataFrame([(k, list(m)) for k, m in sets.items()], "k string, members array<string>")
