@@ -29,33 +29,47 @@ def fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session of one machine may do without: it gets a folder of its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.get(sc.applicationId)
+        if base is None:
+            import tempfile
+
+            base = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="checkpoints")
+    return base.rstrip("/")
+
+
+_OWN: dict[str, str] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder all executors share."""
     sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))  # one machine only: tests
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, for a table that is written once and read again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared folder, for a table that is written once and read again; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, safe against lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -260,6 +274,17 @@ def words(t: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return starts, mix(hashes + np.uint64(1)), per_text
 
 
+def word_sizes(t: Texts, table: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes of each word that words() found, up to its text's end."""
+    inside = table[t.data] != 0
+    last = inside.copy()
+    if len(last):
+        last[:-1] &= ~inside[1:]
+        tails = t.offsets[1:][t.offsets[:-1] < t.offsets[1:]] - 1
+        last[tails] = inside[tails]
+    return np.flatnonzero(last) + 1 - starts
+
+
 def hash_words(texts: list[str], table: np.ndarray) -> np.ndarray:
     """The hashes of single words, as words() has them."""
     raw = [x.encode() for x in texts]
@@ -278,6 +303,15 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- labelled samples
 
 
-def sample_ids(df: DataFrame, key: str, limit: int, salt: int) -> DataFrame:
-    """At most `limit` rows, chosen by a hash of the key: the same rows on every run, spread over the table."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(limit)
+def labelled_sample(df: DataFrame, labels: DataFrame, learn: Column, key: str, text: str, label: str, rows: int, salt: int) -> DataFrame:
+    """k, y, t: at most `rows` labelled rows with their whole texts, chosen by a hash of the key, written to the shared folder.
+
+    A key is one row: the largest of its labels and, of several rows of df, the text of the least hash. The choice is
+    the same on every run and partitioning. Null keys and labels are left out; null texts are empty.
+    """
+    named = labels.where(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    kept = named.orderBy(F.xxhash64(F.col("k").cast("string"), F.lit(salt)), "k").limit(rows)
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = df.select(F.col(key).alias("k"), t.alias("t")).join(F.broadcast(kept), "k")  # `rows` keys at most
+    one = texts.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))  # a key's copies meet map-side
+    return written(one.select(F.col("k").cast("string").alias("k"), "y", "t"), "sample")

@@ -2,9 +2,13 @@
 
 A text is a bag of passages of PASSAGE_WORDS words. Each passage is encoded (byte classes, word shapes, repetition,
 hashed words, then a learned layer); gated attention, learned from document labels alone, weighs the passages, and
-the weighted mean of the encodings is scored.
+the weighted mean of the encodings is scored. A text's score depends on its text and the model alone, not on the
+rows that share its batch.
 
-Null and empty texts are one passage of zeros. All passages of a text count, however long it is.
+Null and empty texts are one passage of zeros. All passages of a text count, however long it is, in the fit too. Rows
+with equal texts have equal scores, so repeated rows stay rows and ties are equal. In the fit a key counts once, with
+the largest of its labels; without labelled rows, or with one label alone, all scores are equal. An empty table gives
+an empty result. Columns beside key and text don't matter to score(); keep_good() returns them as they are.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ from pyspark.sql import functions as F
 from twinloom.llm import common as C
 
 PASSAGE_WORDS = 64
-#: Bounds of the fit: labelled rows, and passages of one row (an even spread over a longer text).
-SAMPLE_ROWS, SAMPLE_PASSAGES = 3000, 32
-HASHED, HIDDEN, GATE = 16, 24, 12
+#: Bounds of the fit's sample: labelled rows, and passages of all of them. Rows are taken whole, in the order of a hash
+#: of their keys; a row that doesn't fit any more is left out.
+SAMPLE_ROWS, SAMPLE_PASSAGES = 3000, 100_000
+HASHED, HIDDEN, GATE = 64, 24, 12
 
 _TABLE = C.word_table("any")
 
@@ -39,11 +44,15 @@ N_CLASSES = 13
 N_FEATURES = N_CLASSES + 9 + HASHED
 
 
+def n_passages(n_words: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-n_words // PASSAGE_WORDS))
+
+
 def passages(t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages in order, and per text the index of its first passage (n+1 values)."""
     starts, hashes, per = C.words(t, _TABLE)
-    n_words = np.diff(per)
-    n_pass = np.maximum(1, -(-n_words // PASSAGE_WORDS))
+    sizes = C.word_sizes(t, _TABLE, starts)
+    n_pass = n_passages(np.diff(per))
     first = np.concatenate([[0], np.cumsum(n_pass)])
     total = int(first[-1])
     text_of = np.repeat(np.arange(len(t)), n_pass)
@@ -51,8 +60,7 @@ def passages(t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
     word_lo = per[text_of] + k * PASSAGE_WORDS
     word_hi = np.minimum(word_lo + PASSAGE_WORDS, per[text_of + 1])
     byte_lo = np.where(k == 0, t.offsets[text_of], starts[np.minimum(word_lo, max(len(starts) - 1, 0))] if len(starts) else 0)
-    edges = np.append(byte_lo, t.offsets[-1])
-    size = np.diff(edges)
+    size = np.diff(np.append(byte_lo, t.offsets[-1]))
     passage_of_byte = np.repeat(np.arange(total), size)
     classes = np.bincount(passage_of_byte * N_CLASSES + _CLASS[t.data], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
     x = np.zeros((total, N_FEATURES), np.float32)
@@ -61,22 +69,23 @@ def passages(t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
     some = np.maximum(count, 1)
     if len(starts):
         passage = np.repeat(np.arange(total), count)
-        length = np.diff(np.append(starts, len(t.data)))
         same = np.zeros(len(starts))
         same[1:] = (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])
         first_class = _CLASS[t.data[starts]]
-        second_class = _CLASS[t.data[np.minimum(starts + 1, len(t.data) - 1)]]
+        second_class = np.where(sizes > 1, _CLASS[t.data[np.minimum(starts + 1, len(t.data) - 1)]], N_CLASSES)
         bag = lambda w=None: np.bincount(passage, w, total)
-        mean = bag(length) / some
+        mean = bag(sizes) / some
         x[:, 13] = mean / 10
-        x[:, 14] = np.sqrt(np.maximum(bag(length.astype(float) ** 2) / some - mean**2, 0)) / 10
+        x[:, 14] = np.sqrt(np.maximum(bag(sizes.astype(float) ** 2) / some - mean**2, 0)) / 10
         x[:, 15] = bag(same) / some
         x[:, 16] = bag(first_class == 1) / some
         x[:, 17] = bag((first_class == 1) & (second_class == 1)) / some
         x[:, 18] = bag(first_class > 4) / some
-        pair = np.unique(passage.astype(np.uint64) * np.uint64(1 << 44) ^ (hashes >> np.uint64(20)))
-        x[:, 19] = np.bincount((pair >> np.uint64(44)).astype(np.int64), minlength=total)[:total] / some
-        x[:, 20] = np.minimum(count, PASSAGE_WORDS) / PASSAGE_WORDS
+        by = np.lexsort((hashes, passage))
+        new = np.ones(len(by))
+        new[1:] = (hashes[by[1:]] != hashes[by[:-1]]) | (passage[by[1:]] != passage[by[:-1]])
+        x[:, 19] = np.bincount(passage[by], new, total) / some
+        x[:, 20] = count / PASSAGE_WORDS
         hashed = np.bincount(passage * HASHED + (hashes % np.uint64(HASHED)).astype(np.int64), minlength=total * HASHED).reshape(total, HASHED)
         x[:, 22:] = hashed / some[:, None]
     x[:, 21] = np.minimum(np.log1p(n_pass[text_of]) / 5, 2)
@@ -96,8 +105,8 @@ class Model:
         e = np.clip((a * s) @ p["g"], -30, 30)
         bag = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         t = np.exp(e)
-        weight = t / np.bincount(bag, t)[bag]
-        z = C.sums(h * weight[:, None], bounds)
+        weight = t / np.add.reduceat(t, bounds[:-1])[bag] if len(t) else t
+        z = np.add.reduceat(h * weight[:, None], bounds[:-1], axis=0) if len(t) else np.zeros((0, HIDDEN))  # no bag is empty
         logit = z @ p["c"] + p["d"][0]
         return {"h": h, "a": a, "s": s, "bag": bag, "weight": weight, "z": z, "score": 1 / (1 + np.exp(-np.clip(logit, -40, 40)))}
 
@@ -138,23 +147,26 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, steps: int = 150, seed
 
 
 def train(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most `sample_rows` labelled rows, chosen by a hash of the key; passages are encoded on the executors."""
-    kept = C.sample_ids(labels.where(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")), "k", sample_rows, 1)
-    sample = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(kept), "k").select("k", "y", "t")  # sample_rows rows at most
+    """Fit on at most `sample_rows` labelled rows and SAMPLE_PASSAGES passages; passages are encoded on the executors."""
 
     def make():
         def step(part: pa.RecordBatch):
-            x, first = passages(C.texts_of(part.column(2).fill_null("")))
-            bags = []
-            for i in range(len(first) - 1):
-                n = first[i + 1] - first[i]
-                at = first[i] + (np.arange(n) if n <= SAMPLE_PASSAGES else np.linspace(0, n - 1, SAMPLE_PASSAGES).astype(int))
-                bags.append(x[at].astype(np.float32).tobytes())
-            return [part.column(0).cast(pa.string()), part.column(1), pa.array(bags, pa.binary())]
+            x, first = passages(C.texts_of(part.column(2)))
+            bags = [x[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
+            return [part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(bags, pa.large_binary()).cast(pa.binary())]
 
         return step
 
-    rows = C.text_map(sample, ["k", "y", "t"], make, "k string, y int, x binary").toArrow().sort_by("k").to_pylist()
+    sample = C.labelled_sample(df, labels, learn, key, text, label, sample_rows, 1)
+    coded = C.written(C.text_map(sample, ["k", "y", "t"], make, "k string, y int, n long, x binary"), "passages")
+    size = coded.select("k", "n", F.xxhash64("k", F.lit(1)).alias("o")).toArrow().sort_by([("o", "ascending"), ("k", "ascending")]).to_pylist()  # sample_rows rows at most
+    left, out = SAMPLE_PASSAGES, []
+    for r in size:
+        if r["n"] <= left:
+            left -= r["n"]
+        else:
+            out.append(r["k"])
+    rows = (coded.where(~F.col("k").isin(out)) if out else coded).toArrow().sort_by("k").to_pylist()  # SAMPLE_PASSAGES passages at most
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, N_FEATURES))
     return fit(x, np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int), np.array([r["y"] for r in rows], float))
