@@ -1,17 +1,22 @@
 """Toxicity: weighted finite-state pattern grammar.
 
-Five small transducers read a clause's words: insults (a learned lexicon of words and word beginnings), threats (a
-threat word near a target), targets (second and third persons raise what they meet), negation (lowers the next
-words) and reported speech (lowers the rest of the clause). Their composition is one machine whose paths carry the
-product of the weights; clauses are scored, and a logistic curve fitted on labelled rows turns a text's clause
-scores into 0 to 1.
-
-Null, empty and letterless texts have no clause and get the score of a text without matches.
+A lexical transducer reads the letters of a word and writes its class with a weight: I for insults (learned words and
+word beginnings), T for threats, G for targets (second and third persons), N for negations, R for words of report, O for
+others. Five small transducers read a clause's classes: insults (one right after another weighs more), threats (full
+weight against a target), targets (raise what they meet), negation (lowers the next words) and reported speech (lowers
+the rest of the clause). All are composed into one machine whose paths carry the product of the weights. Clauses are
+scored, and a logistic curve fitted on labelled rows turns a text's clause scores into 0 to 1.
+
+Null, empty and letterless texts have no clause and get the score of a text without matches. Texts are read whole,
+words of any length. Equal texts have equal scores, so repeated rows stay rows and ties are equal. In the fit a key
+counts once, with the largest of its labels; without labelled rows, or with one label alone, all scores are equal. An
+empty table gives an empty result. Columns beside key and text don't matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +27,11 @@ from pyspark.sql import functions as F
 
 from twinloom.llm import common as C
 
-#: Bounds of the labelled sample (rows, distinct words of a row) and of the learned lexicon (entries).
-SAMPLE_ROWS, SAMPLE_WORDS, LEXICON = 4000, 20_000, 4000
-CACHE_WORDS = 300_000
+#: Bound of the labelled sample: rows, taken whole.
+SAMPLE_ROWS = 4000
+#: A lexicon entry is in so many toxic sampled rows at least, so that the lexicon is no larger than their words over it.
+SEEN = 4
+CACHE_WORDS, KEPT_LETTERS = 300_000, 40
 
 # Closed word classes of the grammar.
 TARGETS = set("you your yours yourself they them their he him his she her du dich dir dein deine ihr euch tu te toi vous votre usted ustedes ti tú".split())
@@ -39,8 +46,10 @@ _LETTERS = regex.compile(r"[^\p{L}\p{M}']+")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() or b == 39 else 32 for b in range(256))
 
 #: What each transducer multiplies the weight of a match by, and for how many words it holds.
-NEGATED, REPORTED, TARGETED, REACH = 0.4, 0.5, 1.3, 3
+NEGATED, REPORTED, TARGETED, PILED, REACH = 0.4, 0.5, 1.3, 1.2, 3
 FEATURES = 6
+#: Log odds of a lexicon entry, at least.
+LEAST_ODDS = 2.0
 
 
 class Transducer:
@@ -63,10 +72,10 @@ def _window(trigger: str, factor: float) -> Transducer:
 
 
 def grammar() -> list[Transducer]:
-    negation, target = _window("N", NEGATED), _window("G", TARGETED)
-    report = Transducer({0: {"R": (1, 1.0)}, 1: {"I": (1, REPORTED), "T": (1, REPORTED)}})
+    insult = Transducer({0: {"I": (1, 1.0)}, 1: {"I": (1, PILED), "*": (0, 1.0)}})  # "stupid idiot" weighs more than both apart
     threat = Transducer({0: {"T": (0, 0.5), "G": (1, 1.0)}, 1: {"T": (1, 2.0)}})  # a threat counts fully against a target
-    return [negation, target, report, threat]
+    report = Transducer({0: {"R": (1, 1.0)}, 1: {"I": (1, REPORTED), "T": (1, REPORTED)}})
+    return [insult, threat, _window("G", TARGETED), _window("N", NEGATED), report]
 
 
 def compose(parts: list[Transducer], symbols: str = "ITGNRO") -> tuple[list[dict[str, int]], list[dict[str, float]]]:
@@ -87,25 +96,58 @@ def compose(parts: list[Transducer], symbols: str = "ITGNRO") -> tuple[list[dict
     return nxt, factor
 
 
-class _Weights(dict):
-    """word -> (class, weight), by the lexicon's words and longest beginnings."""
+class Letters:
+    """The lexical transducer: a path of letters per entry; a word's end writes its class and weight.
+
+    A beginning writes I at every word that goes on from its state; a whole word only if the word ends there. Of
+    several insults the heaviest counts, and an insult comes before the closed classes.
+    """
 
     def __init__(self, lexicon: dict[str, float], stems: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.whole: list[tuple[str, float] | None] = [None]
+        self.going: list[float] = [0.0]
+        for symbol, words in (("R", REPORTS), ("N", NEGATIONS), ("G", TARGETS), ("T", THREATS)):
+            for w in words:
+                self.whole[self._path(w)] = (symbol, 1.0 if symbol == "T" else 0.0)
+        for w, weight in lexicon.items():
+            self.whole[self._path(w)] = ("I", weight)
+        for w, weight in stems.items():
+            self.going[self._path(w)] = weight
+
+    def _path(self, word: str) -> int:
+        v = 0
+        for ch in word:
+            v = self.next[v].setdefault(ch, len(self.next))
+            if v == len(self.next):
+                self.next.append({})
+                self.whole.append(None)
+                self.going.append(0.0)
+        return v
+
+    def read(self, word: str) -> tuple[str, float]:
+        """Class and weight of a word."""
+        v, best = 0, 0.0
+        for ch in word:
+            v = self.next[v].get(ch, -1)
+            if v < 0:
+                return ("I", best) if best else ("O", 0.0)
+            best = max(best, self.going[v])
+        end = self.whole[v] or ("O", 0.0)
+        best = max(best, end[1] if end[0] == "I" else 0.0)
+        return ("I", best) if best else end
+
+
+class _Weights(dict):
+    """What the lexical transducer writes, by word."""
+
+    def __init__(self, letters: Letters):
         super().__init__()
-        self.lexicon, self.stems = lexicon, stems
-        self.longest = max(map(len, stems), default=0)
+        self.read = letters.read
 
     def __missing__(self, word: str) -> tuple[str, float]:
-        w = self.lexicon.get(word, 0.0)
-        for n in range(3, min(len(word), self.longest) + 1):
-            w = max(w, self.stems.get(word[:n], 0.0))
-        if w:
-            got = ("I", w)
-        elif word in THREATS:
-            got = ("T", 1.0)
-        else:
-            got = ("G", 0.0) if word in TARGETS else ("N", 0.0) if word in NEGATIONS else ("R", 0.0) if word in REPORTS else ("O", 0.0)
-        if len(word) <= 40:
+        got = self.read(word)
+        if len(word) <= KEPT_LETTERS:
             self[word] = got
         return got
 
@@ -119,14 +161,14 @@ class _Kinds(dict):
 
     def __missing__(self, raw: bytes) -> bool:
         got = any(self.weights[w][0] in "IT" for w in _WORD.findall(raw.decode("utf-8", "replace")))
-        if len(raw) <= 40:
+        if len(raw) <= KEPT_LETTERS:
             self[raw] = got
         return got
 
 
 class Scorer:
     def __init__(self, lexicon: dict[str, float], stems: dict[str, float]):
-        self.weights = _Weights(lexicon, stems)
+        self.weights = _Weights(Letters(lexicon, stems))
         self.kinds, self.met = _Kinds(self.weights), {True}
         self.next, self.factor = compose(grammar())
 
@@ -183,55 +225,51 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     """Learn lexicon and curve from at most `sample_rows` labelled rows, chosen by a hash of the key.
 
     A word, or a beginning of 3 to 9 letters, enters the lexicon by its smoothed log odds between toxic and other
-    sampled texts; at most LEXICON of them. The curve is fitted on scores from lexicons of other halves of the sample.
+    sampled texts, if SEEN toxic ones have it and it is likelier in these. Rows are counted on the executors. The curve is fitted on scores from
+    lexicons of the sample's other half.
     """
-    kept = C.sample_ids(labels.where(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")), "k", sample_rows, 2)
-    sample = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(kept), "k")  # sample_rows rows at most
-    half = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(5)), F.lit(2)).cast("int")
-    seen = C.text_map(sample.select("y", half.alias("h"), "t"), ["y", "h", "t"], _distinct, "y int, h int, w array<string>").toArrow().to_pylist()
-    n = Counter((r["y"], r["h"]) for r in seen)
-    toxic: Counter = Counter()
-    for r in seen:
-        if r["y"]:
-            toxic.update(set(_parts(r["w"])))
-    some = {x for x, k in toxic.items() if k >= 4}
-    counts: dict = defaultdict(Counter)
-    for r in seen:
-        for x in {x for x in _parts(r["w"]) if x in some}:
-            counts[x][r["y"], r["h"]] += 1
+    half = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(2)).cast("int").alias("h")
+    sample = C.labelled_sample(df, labels, learn, key, text, label, sample_rows, 2).select("k", "y", half, "t")
+    n = Counter({(r.y, r.h): r.n for r in sample.groupBy("y", "h").agg(F.count("*").alias("n")).collect()})  # four rows
+    parts = C.text_map(sample, ["y", "h", "t"], _counted, "form int, x string, y int, h int, n long", 1 << 23)
+    of = lambda y, h: F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("h") == h), F.col("n"))), F.lit(0)).alias(f"n{y}{h}")
+    counts = parts.groupBy("form", "x").agg(*(of(y, h) for y in (0, 1) for h in (0, 1))).where(F.col("n10") + F.col("n11") >= SEEN)
+    odds = F.log((F.col("n10") + F.col("n11") + 0.1) / (n[1, 0] + n[1, 1] + 1)) - F.log((F.col("n00") + F.col("n01") + 0.5) / (n[0, 0] + n[0, 1] + 1))
+    likely = counts.where(odds > 0).toArrow().sort_by([("form", "ascending"), ("x", "ascending")]).to_pylist()
 
     def lexicon(halves: tuple[int, ...]) -> tuple[dict[str, float], dict[str, float]]:
         pos, neg = (sum(n[y, h] for h in halves) for y in (1, 0))
-        found = []
-        for x, c in counts.items():
-            a, b = (sum(c[y, h] for h in halves) for y in (1, 0))
-            odds = np.log((a + 0.1) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
-            if a >= 2 * len(halves) and odds > 2.0:
-                found.append((-float(odds), x))
         out: tuple[dict[str, float], dict[str, float]] = ({}, {})
-        for odds, (stem, form) in sorted(found)[:LEXICON]:
-            out[stem][form] = -odds
+        for c in likely:
+            a, b = (sum(c[f"n{y}{h}"] for h in halves) for y in (1, 0))
+            o = np.log((a + 0.1) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
+            if a >= 2 * len(halves) and o > LEAST_ODDS:
+                out[c["form"]][c["x"]] = float(o)
         return out
 
-    rows = C.text_map(sample.select("k", "y", half.alias("h"), "t"), ["k", "y", "h", "t"], lambda: _featured([lexicon((1,)), lexicon((0,))]), "y int, x array<double>").collect()
+    rows = C.text_map(sample, ["k", "y", "h", "t"], lambda: _featured([lexicon((1,)), lexicon((0,))]), "k string, y int, x array<double>").toArrow().sort_by("k").to_pylist()
     x, y = np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES), np.array([r["y"] for r in rows], float)
     w, b = _logistic(x, y)
     return Model(*lexicon((0, 1)), w, b)
 
 
-def _parts(words: list[str]):
+def _parts(word: str) -> Iterator[tuple[int, str]]:
     """(0, word) and (1, beginning) for beginnings of 3 to 9 letters that are shorter than the word."""
-    for w in words:
-        yield 0, w
-        for n in range(3, min(10, len(w))):
-            yield 1, w[:n]
+    yield 0, word
+    for n in range(3, min(10, len(word))):
+        yield 1, word[:n]
+
 
+def _counted():
+    """Of a slice of rows: how many of each label and half have each part."""
 
-def _distinct():
     def step(part: pa.RecordBatch):
-        texts = [t.decode("utf-8", "replace").lower() for t in C.text_bytes(part.column(2))]
-        words = [sorted({w for w in _LETTERS.split(t) if 2 <= len(w) <= 40})[:SAMPLE_WORDS] for t in texts]
-        return [part.column(0), part.column(1), pa.array(words, pa.list_(pa.string()))]
+        n: Counter = Counter()
+        for y, h, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), C.text_bytes(part.column(2)), strict=True):
+            n.update({(*p, y, h) for w in set(_LETTERS.split(raw.decode("utf-8", "replace").lower())) if w for p in _parts(w)})
+        cols = list(zip(*n, strict=True)) or [[]] * 4
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+        return [*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(list(n.values()), pa.int64())]
 
     return step
 
@@ -241,14 +279,14 @@ def _featured(lexicons):
 
     def step(part: pa.RecordBatch):
         rows = zip(part.column(2).to_pylist(), C.text_bytes(part.column(3)), strict=True)
-        return [part.column(1), pa.array([scorers[h].features(t.decode("utf-8", "replace")).tolist() for h, t in rows], pa.list_(pa.float64()))]
+        return [part.column(0), part.column(1), pa.array([scorers[h].features(t.decode("utf-8", "replace")).tolist() for h, t in rows], pa.list_(pa.float64()))]
 
     return step
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, score (0 to 1), n_clauses with a match, worst (the highest clause score)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a lexicon from SAMPLE_ROWS rows
 
     def make():
         m = shared.value
