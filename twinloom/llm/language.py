@@ -4,7 +4,9 @@ Each language gets a codeword; one binary classifier a bit, on hashed 1- to 3-gr
 it; loss-weighted decoding picks the language whose codeword costs least, and a small lead marks the text ambiguous.
 
 Texts that are null or have no letter are `und` with score 0. With no labelled row every text is `und`; with one
-language every text with a letter is that language with score 1. Ties go to the language first in byte order.
+language every text with a letter is that language with score 1. Ties go to the language first in byte order. Equal
+texts get equal results, so repeated rows stay rows; in the fit, rows of equal key and text count once. Whole texts are
+read, in the fit too. An empty table gives an empty result. Columns beside key and text don't matter.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.llm import common as C
 
-#: Bounds of the sample that the classifiers are fitted on: rows a language, bytes of a row's text, languages.
-SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGUAGES = 400, 20_000, 200
+#: Bounds of the sample that the classifiers are fitted on: rows a language, and rows of all (but one a language at least).
+SAMPLE_ROWS, SAMPLE_TOTAL = 400, 6000
 BUCKETS = 1 << 13
 #: A lead in mean loss below this marks a text ambiguous.
 AMBIGUOUS = 0.05
@@ -80,45 +82,90 @@ class Model:
         return np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust / self.trust.sum()
 
 
-def fit(x: np.ndarray, labels: list[str], steps: int = 120) -> Model:
+class Sparse:
+    """Rows of n-gram weights; products are taken over dense blocks of rows."""
+
+    BLOCK = 2048
+
+    def __init__(self, at: list[np.ndarray], value: list[np.ndarray]):
+        self.at, self.value, self.kept = at, value, None
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def blocks(self):
+        if self.kept is not None:
+            yield self.kept
+            return
+        for lo in range(0, len(self), self.BLOCK):
+            x = np.zeros((min(self.BLOCK, len(self) - lo), BUCKETS), np.float32)
+            for i in range(len(x)):
+                x[i, self.at[lo + i]] = self.value[lo + i]
+            if len(self) <= self.BLOCK:
+                self.kept = (lo, x)
+            yield lo, x
+
+
+def fit(x: Sparse, labels: list[str], steps: int = 120) -> Model:
     """Logistic regressions of all bits at once by accelerated gradient descent, rows weighted by 1 / language size."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
-    y_at = np.array([languages.index(v) for v in labels], dtype=np.int64)
+    place = {v: i for i, v in enumerate(languages)}
+    y_at = np.array([place[v] for v in labels], dtype=np.int64)
     if len(languages) < 2:
         return Model(languages, code, np.zeros((BUCKETS, code.shape[1] if len(languages) else 1), np.float32), np.zeros(1), np.ones(1))
     y = code[y_at]
     row = (1 / np.bincount(y_at)[y_at])[:, None]
     row /= row.sum()
-    w = v = np.zeros((x.shape[1], code.shape[1]))
+    w = v = np.zeros((BUCKETS, code.shape[1]))
     b = vb = np.zeros(code.shape[1])
     for i in range(steps):
-        g = -row * y / (1 + np.exp(np.clip(y * (x @ v.astype(np.float32) + vb), -50, 50)))
-        nw, nb = v - 6 * (x.T @ g.astype(np.float32) + 1e-5 * v), vb - 6 * g.sum(0)
+        gw, gb = np.zeros_like(w), np.zeros_like(b)
+        for lo, block in x.blocks():
+            own = slice(lo, lo + len(block))
+            g = -row[own] * y[own] / (1 + np.exp(np.clip(y[own] * (block @ v.astype(np.float32) + vb), -50, 50)))
+            gw += block.T @ g.astype(np.float32)
+            gb += g.sum(0)
+        nw, nb = v - 6 * (gw + 1e-5 * v), vb - 6 * gb
         m = i / (i + 3)
         v, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    right = ((x @ w.astype(np.float32) + b) * y > 0).mean(0)
-    return Model(languages, code, w.astype(np.float32), b, np.maximum(right - 0.5, 0.01))
-
-
-def train(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most `sample_rows` rows a language (of the MAX_LANGUAGES largest), chosen by a hash of the key."""
-    rows = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"))
-    kept = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).select("l")
-    order = Window.partitionBy("l").orderBy(F.xxhash64(F.col("k").cast("string"), F.lit(9)), "k")
-    picked = rows.join(F.broadcast(kept), "l", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).select("k").distinct()
-    sample = (
-        df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.expr(f"substring(`{text}`, 1, {SAMPLE_BYTES})").alias("t"))
-        .join(F.broadcast(picked), "k", "left_semi")  # at most sample_rows * MAX_LANGUAGES keys
-        .orderBy(F.xxhash64(F.col("k").cast("string"), F.lit(9)), "k", "t")
-        .limit(sample_rows * MAX_LANGUAGES)
-        .select("l", "t")
-        .toArrow()
-    )
-    texts = [x.encode() for x in sample.column("t").to_pylist()]
-    x = np.stack([histogram(t) for t in texts]) if texts else np.zeros((0, BUCKETS), np.float32)
-    return fit(x, sample.column("l").to_pylist())
+    right = np.zeros(code.shape[1])
+    for lo, block in x.blocks():
+        right += ((block @ w.astype(np.float32) + b) * y[lo : lo + len(block)] > 0).sum(0)
+    return Model(languages, code, w.astype(np.float32), b, np.maximum(right / len(x) - 0.5, 0.01))
+
+
+def train(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL) -> Model:
+    """Fit on at most `sample_rows` rows of each language, and about `sample_total` of all, chosen by a hash of key and text.
+
+    Rows are first thinned by the hash to little more than their language's share, then the least hashes of each
+    language are taken, so no language's rows ever meet in one task. n-grams are counted on the executors.
+    """
+    rows = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("o"), F.col(text).cast("string").alias("t"))
+    sizes = C.checkpoint(rows.groupBy("l").agg(F.count("*").alias("n")))
+    share = max(1, min(sample_rows, sample_total // max(1, sizes.count())))
+    # of n rows, the `share` least hashes are below this part of all hashes, but for a chance of less than 1e-9
+    part = (share + 6 * float(np.sqrt(share)) + 36) / F.col("n")
+    thin = rows.join(sizes, "l").where((F.shiftrightunsigned("o", 11).cast("double") / float(1 << 53)) < part)
+    one = thin.groupBy("l", "o").agg(F.min("t").alias("t"))
+
+    def make():
+        def step(part: pa.RecordBatch):
+            grams = [histogram(r) for r in C.text_bytes(part.column(2))]
+            at = [np.flatnonzero(g) for g in grams]
+            return [part.column(0), part.column(1), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([g[a].tobytes() for g, a in zip(grams, at, strict=True)], pa.binary())]
+
+        return step
+
+    got = C.text_map(one, ["l", "o", "t"], make, "l string, o long, at binary, value binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["l"], r["o"] % (1 << 64), r["o"]))  # as unsigned
+    taken, last, n = [], None, 0
+    for r in got:
+        n = n + 1 if r["l"] == last else 1
+        last = r["l"]
+        if n <= share:
+            taken.append(r)
+    return fit(Sparse([np.frombuffer(r["at"], np.uint16) for r in taken], [np.frombuffer(r["value"], np.float32) for r in taken]), [r["l"] for r in taken])
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
