@@ -87,17 +87,48 @@ def test_simhash(spark, texts):
     assert want == {i: g[1] for i, g in got.items()}
 
 
-@pytest.mark.parametrize("block", [2, 64])
-def test_links_of_crowded_fingerprints(spark, monkeypatch, block):
-    """Many fingerprints around a few centres: paired in blocks, or through flipped bits."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("cell", [2, 256])
+def test_links_of_crowded_fingerprints(spark, monkeypatch, cell):
+    """Many fingerprints around a few centres, in large cells that are split again and again, and in small ones."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = random.Random(5)
     fps = {c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in (0, 0x123456789ABCDEF, (1 << 64) - 1) for _ in range(40)} | {rng.getrandbits(64) for _ in range(100)}
-    signed = [simhash._signed(f) for f in fps]
-    made = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
-    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2 for r in made)
-    want = union_find([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2], signed)
-    assert union_find([(r.a, r.b) for r in made], signed) == want
+    fps = [signed(f) for f in fps]
+    got = {(min(r), max(r)) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert got == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+
+
+def test_pivot_table():
+    """A block's coordinates tell its contents apart and depend on them alone; neighbours have a common cell; the table discards."""
+    rng = np.random.default_rng(3)
+    references = simhash.pivots()
+    assert len(references) == 64
+    fps = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    t = simhash.table(fps, references)
+    own = (t[:, 1:49] - t[:, :1]).reshape(len(fps), 16, 3)
+    for b in range(16):
+        content = fps & np.uint64(sum(1 << (b + 16 * i) for i in range(4)))
+        assert len({tuple(x) for x in own[:, b].tolist()}) == 16
+        assert len(set(zip(content.tolist(), map(tuple, own[:, b].tolist()), strict=True))) == 16
+    paths = [4 * i + j for i in (1, 2, 3) for j in (1, 2, 3)]
+    for _ in range(200):
+        i, j = rng.integers(0, 64, 2)
+        pair = np.array([fps[0], fps[0] ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j))], np.uint64)
+        assert any(len(set(simhash._cells(pair, p, references).tolist())) == 1 for p in paths)
+        assert np.abs(np.diff(simhash.table(pair, references).astype(int), axis=0)).max() <= 2
+    apart = np.abs(t[:200].astype(int) - t[200:]).max(1)
+    assert (apart > 2).all()
+
+
+def test_keep_first_of_rows_that_share_a_key(spark):
+    a, b, c = "the first text has these words in it", "quite another text with words of its own", "and a third one that is unlike both of the others"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b, "u"), (4, c, "v"), (4, c, "v"), (None, c, "w"), (None, None, "n"), (5, "", "e"), (5, "", "f")]
+    got = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(4)).collect()]
+    assert sorted((r[0], r[1]) for r in got) == [(1, a), (2, b), (4, c), (5, "")]
 
 
 # ---------------------------------------------------------------- line dedup

@@ -72,6 +72,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", parts: int = 1000) -> DataFrame:
+    """left joined with right, which has one row a key and the number `n` of left's rows with it; n is dropped.
+
+    Keys with over 1 / `parts` of the rows, so `parts` of them at most, are broadcast; their rows stay where they are.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot, rest = (F.broadcast(right.where(F.col(n) * parts > total).drop(n)), right.where(F.col(n) * parts <= total).drop(n))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more."""
     import gc

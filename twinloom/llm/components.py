@@ -22,12 +22,15 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least.select("u", F.least("u", "m").alias("m")), "u")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """One row per node of at least one link: node, root (the least node that is reachable). Links without ends are left out."""
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row per node of at least one link: node, root (the least node that is reachable).
+
+    Links without an end or with two equal ones are left out; no links give no rows. Steps go on until nothing changes.
+    """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     edges = C.checkpoint(edges)
     before = _state(edges)
-    for _ in range(rounds if before[0] else 0):
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _with_least(large)  # all v < u here
@@ -37,8 +40,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == before:
             break
         before = now
-    else:
-        if before[0]:
-            raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
