@@ -1,5 +1,6 @@
 """What must not depend on the size of a block, the length of a unit or the words that follow."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -53,6 +54,46 @@ def test_whole_templates_are_found():
         assert found >= {i for i, (t,) in templates.items() if f" {t} " in f" {text} "}
 
 
+def test_every_copy_has_its_span():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE_PHRASES)
+    grant = licenses.TEMPLATES["mit"][0]
+    words = len(licenses._tokens(grant))
+    other = " ".join(f"other{i}" for i in range(50))
+    spans = lambda t: [(scanner.names[k], a, b, c) for k, a, b, c in scanned(scanner, t)[1]]
+    assert spans(f"{grant} {other} {grant}") == [("mit", 0, words - 1, 1.0), ("mit", words + 50, 2 * words + 49, 1.0)]
+    short = licenses.TEMPLATES["cc-by-sa"][0]
+    assert [x[1:] for x in spans(f"{short} " * 2000) if x[0] == "cc-by-sa"] == [(7 * i, 7 * i + 6, 1.0) for i in range(2000)]
+
+
+def test_chains_against_all_chains():
+    """The largest cover of a template that any chain has, and no span without one."""
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        size = int(rng.integers(5, 12))
+        hits = sorted({(int(rng.integers(0, 25)), int(p := rng.integers(0, size)), int(rng.integers(1, size - p + 1))) for _ in range(int(rng.integers(1, 7)))})
+
+        def covers(chain):
+            """Covered tokens, or None if it isn't a chain."""
+            total = chain[0][2]
+            for (s, p, m), (start, place, n) in zip(chain, chain[1:]):
+                cut = max(s + m - start, p + m - place, 0)
+                if not (s < start and p < place and cut < n and start + cut - s - m <= size):
+                    return None
+                total += n - cut
+            return total
+
+        every = [c for k in range(1, len(hits) + 1) for c in itertools.combinations(hits, k)]
+        most = max(c for x in every if (c := covers(x)) is not None)
+        got = licenses.spans_of(hits, size)
+        if most >= licenses.COVERED * size:
+            assert max(c for *_, c in got) == most / size
+        else:
+            assert got == []
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
+        possible = {(x[0][0], x[-1][0] + x[-1][2] - 1, c / size) for x in every if (c := covers(x)) is not None}
+        assert set(got) <= possible
+
+
 def segmentations(model, text, ids):
     """All of a unit's segmentations into pieces, with their weights; text has a mark for each space."""
     if not text:

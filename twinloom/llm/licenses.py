@@ -3,15 +3,23 @@
 The tokens of all templates and phrases go into one suffix automaton. A text streams through it once: after each
 word the automaton holds the longest stretch of template tokens that ends there (matching statistics). The longest
 stretch of each single template is the first state along suffix links that it has a place in; those that the next word
-doesn't lengthen are chained along each template into covered spans, whatever longer stretch another template has there.
-A template with enough of its tokens covered gives its label.
-Whole phrases are the automaton's accepting states, met along suffix links at every word.
+doesn't lengthen are the template's hits, whatever longer stretch another template has there.
 
-Null and empty texts give counts 0, null places, empty labels and score 0.
+A template's hits are chained: a hit follows another if it goes on in the text and in the template, by no more than the
+template's length in the text. For each hit, of the chains that end there, the one counts that covers most of the template (of equal
+ones, that with the shortest gaps). Those that cover COVERED of it are spans, best first, if they share no word with a
+span before them; the hits left between spans are chained again, so that every copy has its span. A template with a
+span gives its label. Whole phrases are the automaton's accepting states, met along suffix links at every word.
+
+Null and empty texts give counts 0, null places, empty labels and score 0. Rows are scanned on their own: repeated rows
+stay rows with equal results. Templates that are equally covered all give their labels. An empty table gives an empty
+result. Columns beside key and text don't matter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,6 +158,47 @@ class SuffixAutomaton:
             yield v, n
 
 
+def chains(hits: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Of hits (start, place, tokens), sorted: by hit, covered tokens, less the gaps, and first word of its best chain.
+
+    Where two hits overlap, in the text or the template, the second counts without its first tokens.
+    """
+    best: list[tuple[int, int, int]] = []
+    low = 0
+    for start, place, n in hits:
+        while hits[low][0] + 2 * size < start:  # no hit is longer than the template
+            low += 1
+        own = (n, 0, start)
+        for j in range(low, len(best)):
+            s, p, m = hits[j]
+            cut = max(s + m - start, p + m - place, 0)
+            gap = start + cut - s - m
+            if cut < n and gap <= size and s < start and p < place:
+                own = max(own, (best[j][0] + n - cut, best[j][1] - gap, best[j][2]))
+        best.append(own)
+    return best
+
+
+def spans_of(hits: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
+    """First word, last word and covered share of a template's spans."""
+    found: list[tuple[int, int, float]] = []
+    left = sorted(set(hits))
+    while left:
+        ends = [(-c, -g, first, start + n - 1) for (c, g, first), (start, _, n) in zip(chains(left, size), left, strict=True) if c >= COVERED * size]
+        new: list[tuple[int, int]] = []
+        for c, _, first, last in sorted(ends):
+            at = bisect(new, (first, last))
+            if (at == 0 or new[at - 1][1] < first) and (at == len(new) or new[at][0] > last):
+                new.insert(at, (first, last))
+                found.append((first, last, -c / size))
+        if not new:
+            break
+        starts = [x[0] for x in new]
+        free = lambda a, b: (at := bisect(starts, b)) == 0 or new[at - 1][1] < a
+        left = [h for h in left if free(h[0], h[0] + h[2] - 1)]
+    return sorted(found)
+
+
 class Scanner:
     """Templates and base phrases in one automaton, and the scan of one text."""
 
@@ -198,21 +247,7 @@ class Scanner:
                 before = now
             for k, x in before.items():
                 self._long(long_, at, k, *x)
-        found = []
-        for k, hits in long_.items():
-            covered = np.zeros(len(self.sequences[k]), bool)
-            first, end, before = None, 0, -1
-            best = (0.0, 0, 0)
-            for start, place, n in sorted(hits):  # a chain moves on in text and template; else it starts anew
-                if first is None or place < before or start > end + 2 * len(covered):
-                    covered[:] = False
-                    first = start
-                covered[place : place + n] = True
-                before, end = place, start + n
-                best = max(best, (float(covered.mean()), first, end - 1))
-            if best[0] >= COVERED:
-                found.append((k, best[1], best[2], best[0]))
-        return base, found
+        return base, sorted((k, first, last, share) for k, hits in long_.items() for first, last, share in spans_of(hits, len(self.sequences[k])))
 
     def _long(self, long_: dict, at: int, k: int, v: int, n: int, i: int) -> None:
         long_.setdefault(k, []).extend((at + i - n + 1, end - n + 1, n) for j, end in self.automaton.places[v] if j == k)
