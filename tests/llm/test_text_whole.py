@@ -23,6 +23,41 @@ def test_index_blocks_give_the_same_scores(spark, monkeypatch):
     assert found() == whole and kept() == left
 
 
+def test_passes_give_the_same(spark, monkeypatch):
+    docs, items = common.documents(spark, SF), spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = lambda: {tuple(r) for r in decontaminate.leaks(docs, items).collect()}
+    whole, left = found(), {r.doc_id for r in decontaminate.clean_rows(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    assert found() == whole and {r.doc_id for r in decontaminate.clean_rows(docs, items).collect()} == left
+
+
+def words_of(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return common.words(common.Texts(raw, np.array([0, len(raw)])), decontaminate._TABLE)[1]
+
+
+def test_runs_are_verified_one_by_one(monkeypatch):
+    """Parts of an item that stand far apart don't add up; a whole copy after a part is found, in blocks of any size."""
+    item = [f"w{i}" for i in range(60)]
+    index = decontaminate.Index([(1, " ".join(item[:40]), " ".join(item[40:])), (2, "another item", "of five")])
+    other = [f"o{i}" for i in range(3000)]
+    apart = " ".join([*item[:42], *other, *item[18:]])
+    whole = " ".join([*item[:42], *other, *item, *other])
+    for passages in (4096, 3):
+        monkeypatch.setattr(decontaminate, "PASSAGES", passages)
+        assert len(index.retrieved(words_of(apart))[0]) == 2 and list(index.leaks(words_of(apart))) == []
+        assert [(x[0], x[2]) for x in index.leaks(words_of(whole))] == [(1, 1.0)]
+
+
+def test_repeated_items_and_rows(spark):
+    text = "the quick brown fox jumps over the lazy dog and then sleeps for a long while"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text), (7, text), (None, text), (8, None)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()), key=str) == [(1, 7)] * 4 + [(1, None)] * 2
+    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, items).collect()) == [2, 3]
+
+
 def test_statistics_of_blocks():
     items = [(1, "one two two", "three"), (2, "two", ""), (3, "", "")]
     whole = decontaminate.statistics([items])

@@ -2,15 +2,20 @@
 
 Test items are indexed; every passage of a text (PASSAGE words, a new one each STRIDE words, to the text's end) is a
 query, and all items whose BM25 score reaches their threshold are retrieved, with no top-k. Upper bounds of blocks of
-items (block-max) rule out most passages at once; the rest run WAND over the postings. A retrieved item is a leak if
-the text around the passage holds at least CONTAINED of its 5-word shingles and OVERLAP of its question's and of its
-answer's words.
+items (block-max) rule out most passages at once; the rest run WAND over the postings. Passages that retrieve one item
+and overlap are a run. An item is a leak if the words of one run, and as many around it as the item has, hold at least
+CONTAINED of its 5-word shingles and OVERLAP of its question's and of its answer's words; of several such runs that with
+the most shingles is told (of equal ones, the first).
 
 An item without an answer column has its last sentence as answer (or its last third, if it is one sentence). Items
-without words never match; items of fewer than five words match as a whole. Null and empty texts have no passage.
-The index is built per block of items of at most INDEX_BYTES of text, and each block is broadcast in turn, so a
-larger test set means more passes and not a larger broadcast. Item count, mean length and document frequencies are those
-of all items, so that scores and thresholds don't depend on the blocks.
+without words never match; items of fewer than five words match as a whole. Items of equal texts all match, items of
+equal or null ids are items of their own, and null item texts are left out. Null and empty texts have no passage, so
+they leak nothing and stay. Repeated rows have equal results each. Empty tables leak nothing. Extra columns don't
+matter to leaks(); clean_rows() returns them as they are.
+
+The index is built per block of items of at most INDEX_BYTES of text (or one longer item), and so many blocks are
+broadcast at a time, so a larger test set means more passes and not a larger broadcast. Item count, mean length and
+document frequencies are those of all items, so that scores and thresholds don't depend on the blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ PASSAGE, STRIDE, SHINGLE = 64, 16, 5
 SHARE, CONTAINED, OVERLAP = 0.6, 0.8, 0.8
 K1, B = 1.2, 0.75
 INDEX_BYTES, BLOCK_ITEMS, MAX_BLOCKS = 4 << 20, 8, 32
+#: Index blocks that one pass over the texts asks, one after the other.
+AT_ONCE = 4
+#: Passages of one text whose bounds are summed together.
+PASSAGES = 4096
 
 _TABLE = C.word_table("alnum")
 _SENTENCE = re.compile(r"[.!?]\s+")
@@ -165,8 +174,8 @@ class Index:
             cursors = [c for c in cursors if c[0] < end]
         return found
 
-    def retrieved(self, hashes: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """Of one text's words: item -> best score (1 is the threshold), first and last word of its passages."""
+    def retrieved(self, hashes: np.ndarray) -> dict[int, list[tuple[float, int, int]]]:
+        """Of one text's words: item -> its runs: best score (1 is the threshold), first word and end of the passages."""
         n = len(hashes)
         if not n or not len(self.vocabulary):
             return {}
@@ -174,34 +183,42 @@ class Index:
         lo = np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE)
         edges = np.stack([lo, np.minimum(lo + PASSAGE, n)])
         total = np.concatenate([[0.0], np.cumsum(self.list_max[terms])])
-        found: dict[int, tuple[float, int, int]] = {}
-        some = np.flatnonzero(total[edges[1]] - total[edges[0]] >= 1)
-        if len(some):
-            lo, hi = int(edges[0, some[0]]), int(edges[1, some[-1]])
-            total = np.concatenate([np.zeros((1, self.n_blocks)), np.cumsum(self.block_max[terms[lo:hi]], axis=0)])
-            some = some[(total[edges[1, some] - lo] - total[edges[0, some] - lo]).max(1) >= 1]
-        for k in some:
-            a, b = int(edges[0, k]), int(edges[1, k])
-            own = np.unique(terms[a:b])
-            own = own[own < len(self.vocabulary)]
-            if self.block_max[own].sum(0).max() < 1:
-                continue
-            for item, score in self.wand(own.tolist()):
-                old = found.get(item, (0.0, a, b))
-                found[item] = (max(old[0], score), min(old[1], a), max(old[2], b))
+        found: dict[int, list[tuple[float, int, int]]] = {}
+        some = np.flatnonzero(total[edges[1]] - total[edges[0]] >= 1 - 1e-6)  # sums of many words round
+        for part in np.split(some, np.flatnonzero(np.diff(edges[0, some] // (PASSAGES * STRIDE))) + 1) if len(some) else ():
+            first, last = int(edges[0, part[0]]), int(edges[1, part[-1]])
+            bound = np.concatenate([np.zeros((1, self.n_blocks)), np.cumsum(self.block_max[terms[first:last]], axis=0)])
+            for k in part[(bound[edges[1, part] - first] - bound[edges[0, part] - first]).max(1) >= 1 - 1e-6]:
+                a, b = int(edges[0, k]), int(edges[1, k])
+                own = np.unique(terms[a:b])
+                own = own[own < len(self.vocabulary)]
+                if self.block_max[own].sum(0).max(initial=0) < 1:
+                    continue
+                for item, score in self.wand(own.tolist()):
+                    runs = found.setdefault(item, [])
+                    if runs and a < runs[-1][2]:
+                        runs[-1] = (max(runs[-1][0], score), runs[-1][1], b)
+                    else:
+                        runs.append((score, a, b))
         return found
 
     def leaks(self, hashes: np.ndarray) -> Iterator[tuple[object, float, float, float, float]]:
         """item id, BM25 score, contained share of shingles, question's and answer's word overlap."""
-        for item, (score, a, b) in sorted(self.retrieved(hashes).items()):
+        for item, runs in sorted(self.retrieved(hashes).items()):
             words = self.words[item]
-            near = hashes[max(0, a - len(words)) : b + len(words)]
-            if len(near) < min(SHINGLE, len(words)):
-                continue
-            contained = float(np.isin(self.shingles[item], shingles(near, min(SHINGLE, len(words)))).mean())
-            q, s = (float(np.isin(x, near).mean()) if len(x) else 1.0 for x in (self.question[item], self.answer[item]))
-            if contained >= CONTAINED and q >= OVERLAP and s >= OVERLAP:
-                yield self.ids[item], score * float(self.scale[item]), contained, q, s
+            best = None
+            for score, a, b in runs:
+                near = hashes[max(0, a - len(words)) : b + len(words)]
+                if len(near) < min(SHINGLE, len(words)):
+                    continue
+                contained = float(np.isin(self.shingles[item], shingles(near, min(SHINGLE, len(words)))).mean())
+                if contained < CONTAINED or best is not None and contained <= best[1]:
+                    continue
+                q, s = (float(np.isin(x, near).mean()) if len(x) else 1.0 for x in (self.question[item], self.answer[item]))
+                if q >= OVERLAP and s >= OVERLAP:
+                    best = (score * float(self.scale[item]), contained, q, s)
+            if best is not None:
+                yield (self.ids[item], *best)
 
 
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[object, str, str]]]:
@@ -215,48 +232,75 @@ def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> I
         yield [(r["k"], r["q"], r["s"]) if given else (r["k"], *split_item(r["q"])) for r in block]
 
 
-def _shared_blocks(df: DataFrame, items: DataFrame, key: str, text: str) -> Iterator:
-    """Each block with its statistics, broadcast."""
+def _passes(df: DataFrame, items: DataFrame, key: str, text: str) -> Iterator[list]:
+    """Broadcasts of AT_ONCE blocks at most, each with its statistics."""
     of_all = statistics(item_blocks(items, key, text))
+    now: list = []
     for block in item_blocks(items, key, text):
-        yield df.sparkSession.sparkContext.broadcast((block, of_block(block, of_all)))
+        if len(now) == AT_ONCE:
+            yield now
+            now = []
+        now.append(df.sparkSession.sparkContext.broadcast((block, of_block(block, of_all))))
+    yield now
+
+
+def _indexes(shared: list) -> list[Index]:
+    return [Index(*x.value) for x in shared]
 
 
 def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per text and item that it leaks: key, item_id, bm25, contained, question_overlap, answer_overlap."""
-    out = None
+    """One row per text and item that it leaks: key, item_id, bm25, contained, question_overlap, answer_overlap.
+
+    With more than one pass, each is run, written to the shared folder and its broadcasts let go.
+    """
+    out, last = None, None
     schema = f"{key} {C.type_of(df, key)}, item_id {C.type_of(items, item_key)}, bm25 double, contained double, question_overlap double, answer_overlap double"
     kinds = items.select(item_key).limit(0).toArrow().schema.field(0).type
-    for shared in _shared_blocks(df, items, item_key, item_text):
 
-        def make(shared=shared):
-            index = Index(*shared.value)
+    def found(shared: list) -> DataFrame:
+        def make():
+            indexes = _indexes(shared)
 
             def step(part: pa.RecordBatch):
                 _, h, per = C.words(C.texts_of(part.column(1).fill_null("")), _TABLE)
-                got = [(i, *x) for i in range(len(per) - 1) for x in index.leaks(h[per[i] : per[i + 1]])]
+                got = [(i, *x) for i in range(len(per) - 1) for index in indexes for x in index.leaks(h[per[i] : per[i + 1]])]
                 cols = list(zip(*got, strict=True)) or [[]] * 6
                 return [part.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kinds), *(pa.array(c, pa.float64()) for c in cols[2:])]
 
             return step
 
-        found = C.text_map(df, [key, text], make, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return C.text_map(df, [key, text], make, schema)
+
+    for shared in _passes(df, items, item_key, item_text):
+        if last is not None:
+            done = C.written(found(last), "leaks")
+            out = done if out is None else out.unionByName(done)
+            for b in last:
+                b.destroy()
+        last = shared
+    return found(last) if out is None else out.unionByName(found(last))
 
 
 def clean_rows(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """df without the rows that leak an item; all columns as they are."""
-    for shared in _shared_blocks(df, items, item_key, item_text):
+    """df without the rows that leak an item; all columns as they are. Passes as in leaks()."""
+    last = None
 
-        def make(shared=shared):
-            index = Index(*shared.value)
+    def kept(rows: DataFrame, shared: list) -> DataFrame:
+        def make():
+            indexes = _indexes(shared)
 
             def keep(column: pa.Array) -> list[bool]:
                 _, h, per = C.words(C.texts_of(column.fill_null("")), _TABLE)
-                return [next(index.leaks(h[per[i] : per[i + 1]]), None) is None for i in range(len(per) - 1)]
+                return [all(next(index.leaks(h[per[i] : per[i + 1]]), None) is None for index in indexes) for i in range(len(per) - 1)]
 
             return keep
 
-        df = C.filter_rows(df, text, make)
-    return df
+        return C.filter_rows(rows, text, make)
+
+    for shared in _passes(df, items, item_key, item_text):
+        if last is not None:
+            df = C.written(kept(df, last), "clean")
+            for b in last:
+                b.destroy()
+        last = shared
+    return kept(df, last)

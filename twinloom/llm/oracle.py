@@ -16,12 +16,15 @@ ORACLE_SQL: dict[str, str] = {
   p as (select doc_id, w, lo, least(lo + 64, len(w)) as hi from (select doc_id, w, unnest(range(0, greatest(1, len(w) - 48), 16)) as lo from d where len(w) > 0)),
   pt as (select doc_id, lo, hi, unnest(list_distinct(w[lo + 1:hi])) as t from p),
   r as (select doc_id, item_id, lo, hi, sum(x) as score from pt join imp using (t) group by all),
-  f as (select doc_id, item_id, max(score) as bm25, min(lo) as a, max(hi) as b from r join sc using (item_id) where score >= scale * (1 - 1e-8) group by all),
-  g as (select doc_id, item_id, bm25, i.q, i.s, i.w as iw, least(5, len(i.w)) as k, d.w[greatest(0, a - len(i.w)) + 1:b + len(i.w)] as near from f join d using (doc_id) join i using (item_id)),
+  e as (select r.*, lag(hi) over (partition by doc_id, item_id order by lo) as before from r join sc using (item_id) where score >= scale * (1 - 1e-8)),
+  v as (select *, sum(case when lo < before then 0 else 1 end) over (partition by doc_id, item_id order by lo rows unbounded preceding) as run from e),
+  f as (select doc_id, item_id, run, max(score) as bm25, min(lo) as a, max(hi) as b from v group by all),
+  g as (select doc_id, item_id, run, bm25, i.q, i.s, i.w as iw, least(5, len(i.w)) as k, d.w[greatest(0, a - len(i.w)) + 1:b + len(i.w)] as near from f join d using (doc_id) join i using (item_id)),
   h as (select *, list_distinct(list_transform(range(1, len(iw) - k + 2), lambda j: array_to_string(iw[j:j + k - 1], ' '))) as want, list_transform(range(1, len(near) - k + 2), lambda j: array_to_string(near[j:j + k - 1], ' ')) as have from g where len(near) >= k),
-  o as (select doc_id, item_id, round(bm25, 3) as bm25, len(list_filter(want, lambda v: list_contains(have, v))) / len(want) as contained,
+  o as (select doc_id, item_id, run, round(bm25, 3) as bm25, len(list_filter(want, lambda v: list_contains(have, v))) / len(want) as contained,
     case when len(q) = 0 then 1.0 else len(list_filter(q, lambda v: list_contains(near, v))) / len(q) end as question_overlap, case when len(s) = 0 then 1.0 else len(list_filter(s, lambda v: list_contains(near, v))) / len(s) end as answer_overlap from h)
-select doc_id, item_id, bm25, contained, question_overlap, answer_overlap from o where contained >= 0.8 and question_overlap >= 0.8 and answer_overlap >= 0.8""",
+select doc_id, item_id, bm25, contained, question_overlap, answer_overlap from o where contained >= 0.8 and question_overlap >= 0.8 and answer_overlap >= 0.8
+qualify row_number() over (partition by doc_id, item_id order by contained desc, run) = 1""",
     "op10_lines": r"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
   l as (select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
   w as (select doc_id, line_no, line, list_sort(list_distinct(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\x0b\x0c]+'), lambda x: x <> ''))) as s from l),
