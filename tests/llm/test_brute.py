@@ -328,10 +328,23 @@ def test_edited_texts(spark):
     for i, n, sha, text, nxt, edited in rows:
         g, (a, b, c) = got[i], map(signatures, (text, edited, nxt))
         assert (g.n_chars, g.edited_sha256) == (n, sha)
-        assert g.near_edited == pytest.approx(len(a & b) / len(a | b)) and g.near_next == pytest.approx(len(a & c) / len(a | c))
+        for near, other in ((g.near_edited, b), (g.near_next, c)):
+            j = len(a & other) / len(a | other)
+            assert near == pytest.approx(j if j >= spotsigs.FLOOR else 0.0)
         assert (g.fingerprint == g.edited_fingerprint) == (a == b)
 
 
+def test_pruned_likeness():
+    """Pruning by parts, lengths and prefixes never loses a likeness that is wanted."""
+    rng = np.random.default_rng(9)
+    for _ in range(2000):
+        one = np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64))
+        two = np.unique(np.concatenate([one[rng.random(len(one)) < rng.random()], rng.integers(0, 60, rng.integers(1, 20)).astype(np.uint64)]))
+        j = len(set(one.tolist()) & set(two.tolist())) / len(set(one.tolist()) | set(two.tolist()))
+        for at_least in (0.1, 0.5, 0.8):
+            assert spotsigs.likeness(one, two, at_least) == pytest.approx(j if j >= at_least else 0.0)
+
+
 def test_alike(spark, docs):
     some = docs.select("doc_id", "text").where("doc_id < 60")
     extra = some.select(F.col("doc_id") + 1000, F.concat("text", F.lit(" and some more words at the end")))

@@ -1,12 +1,16 @@
 """Document fingerprints: SpotSigs.
 
 Wherever a common word (an anchor) stands, the next CHAIN content words after it form a signature with it; the set of
-a text's signatures is its fingerprint. Likeness is the Jaccard similarity of two sets, pruned by their lengths: sets
-whose lengths alone rule a wanted likeness out are never intersected.
+a text's signatures is its fingerprint. Likeness is the Jaccard similarity of two sets, pruned: sets in parts of set
+lengths that aren't neighbours, or whose lengths alone rule the wanted likeness out, are never looked at, and those
+whose first signatures (so many that sets so alike share one) have nothing in common are looked at no further. What is
+ruled out has likeness 0. edited_with_next() wants FLOOR, so smaller likenesses are 0 there.
 
 A text with no full chain after an anchor takes every word as an anchor and any words as its chain (one signature of
 all words if there are fewer than that). A text without words has one signature of its bytes. So equal texts have
-equal fingerprints, and no fingerprint is empty. Null texts count as empty.
+equal fingerprints, and no fingerprint is empty. Null texts count as empty. Keys must be numbers. Rows of equal or null
+keys have an order (edited_with_next), and alike() takes the least key of rows with equal sets. An empty table gives an
+empty result. Columns beside key and text don't matter.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from twinloom.llm import common as C
 
 CHAIN = 3
+#: The least likeness that edited_with_next() tells from 0.
+FLOOR = 0.1
 
 # Function words of English, German, French and Spanish, the usual anchors of common words.
 ANCHORS = """
@@ -78,18 +84,27 @@ class Spotter:
         return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
-    """Jaccard similarity of sorted sets; 0 without a look at them if their lengths rule out `at_least`."""
+def length_part(n: int, at_least: float) -> int:
+    """Parts of set lengths such that sets as alike as `at_least` are in the same part or in neighbours."""
+    return int(np.floor(np.log(max(n, 1)) / -np.log(at_least) + 1e-9))
+
+
+def prefix_size(n: int, at_least: float) -> int:
+    """Sets as alike as `at_least` share one of so many first members, in any common order."""
+    return n - int(np.ceil(n * at_least - 1e-9)) + 1
+
+
+def likeness(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
+    """Jaccard similarity of sorted sets if it is `at_least` or more, else 0."""
     small, large = sorted((len(a), len(b)))
-    if small < at_least * large:
+    if length_part(large, at_least) - length_part(small, at_least) > 1 or small < at_least * large:
+        return 0.0
+    x, y = (s[: prefix_size(len(s), at_least)] for s in (a, b))
+    if x[0] > y[-1] or y[0] > x[-1] or not len(np.intersect1d(x, y, assume_unique=True)):
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (small + large - both)
-
-
-def length_part(n: int, at_least: float) -> int:
-    """Parts of set lengths such that sets as alike as `at_least` are in the same part or in neighbours."""
-    return int(np.floor(np.log(max(n, 1)) / -np.log(at_least)))
+    found = both / (small + large - both)
+    return found if found >= at_least else 0.0
 
 
 def name_of(signatures: np.ndarray) -> str:
@@ -200,7 +215,7 @@ def edited_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") ->
             [
                 pa.array([k for k, _, _ in rows], arrow_key), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
                 pa.array([name_of(s) for s in mine]), pa.array([name_of(s) for s in other]),
-                pa.array([likeness(a, b) for a, b in zip(mine, other, strict=True)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(mine, after, strict=True)], pa.float64()),
+                pa.array([likeness(a, b, FLOOR) for a, b in zip(mine, other, strict=True)], pa.float64()), pa.array([likeness(a, b, FLOOR) for a, b in zip(mine, after, strict=True)], pa.float64()),
             ],
             ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
