@@ -153,12 +153,37 @@ def plain_gone(texts):
     return gone
 
 
-@pytest.mark.parametrize("group", [1, 8])
-def test_line_dedup(docs, texts, monkeypatch, group):
+@pytest.mark.parametrize(("group", "chunk"), [(1, 3), (8, 512)])
+def test_line_dedup(docs, texts, monkeypatch, group, chunk):
     monkeypatch.setattr(lines, "GROUP", group)
+    monkeypatch.setattr(lines, "CHUNK", chunk)
     assert {(r.k, r.line) for r in lines.gone_lines(docs).collect()} == plain_gone(texts)
 
 
+def test_ranks_of_ranges(spark):
+    """Keys that span ranges, keys within one and a range of one key alone."""
+    rng = random.Random(2)
+    rows = [(key, 1000 * key + i, rng.randrange(10**6), i, 5, 0, 0) for key, size in ((1, 1), (2, 400), (3, 2), (4, 3), (7, 90)) for i in range(size)]
+    df = spark.createDataFrame(rows, "key long, s long, k long, line long, n long, even long, odd long").repartition(3)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        want[r[1]] = 1 + sum(x[0] == r[0] and (x[2], x[3]) < (r[2], r[3]) for x in rows)
+    for n in ("2", "7", "40"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert {r.s: r["rank"] for r in lines._ranked(df).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_bytes_of_words_count(spark):
+    """A zero byte is a byte of its own; equal sets in any order of words are one."""
+    rows = [(1, "a \x00 b c d"), (2, "a \x01 b c d"), (3, "d c b \x00 A"), (4, "a A b c"), (5, "c b a")]
+    got = {r.doc_id: r.n_gone for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
 def test_crowded_lines(spark):
     """Near copies of one line, sets of every small size, and a copy in every row."""
     rng = random.Random(6)

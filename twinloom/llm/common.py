@@ -228,7 +228,7 @@ def word_table(keep: str = "any") -> np.ndarray:
     t[65:91] += 32
     if keep == "any":
         t[[0x20, 9, 10, 11, 12, 13]] = 0
-        t[0] = 1  # the byte 0 itself belongs to a word
+        t[0] = 65  # the byte 0 itself belongs to a word; no other byte is mapped to an upper-case letter
     else:
         b = np.arange(256)
         word = (b >= 128) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)) | ((b >= 48) & (b <= 57) if keep == "alnum" else False)
