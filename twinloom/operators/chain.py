@@ -38,26 +38,29 @@ def receive(rows: DataFrame, by: str, order: str, arrival: list[str], recovery:
     """The receive protocol with strong rejection, in batch: each row with `frontier` before it and `verdict`.
 
     applied, gap (applied past a gap), duplicate, late (tainted, discarded), anchor (a recovery snapshot: the frontier
-    moves to it and taint is empty), rejected (after a terminator). Rows before any other start at frontier 0.
+    moves to it and taint is empty), terminator (`closed` and accepted), rejected (after an accepted terminator or a closed
+    anchor; a terminator that is late or a duplicate ends nothing). Chains start at frontier 0. The same as the stream's.
     """
     w = Window.partitionBy(by).orderBy(*arrival)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    anchor = F.coalesce(recovery, F.lit(False)) if recovery is not None else F.lit(False)
-    ended = F.coalesce(closed, F.lit(False)) if closed is not None else F.lit(False)
-    d = rows.withColumn("__anchor", anchor).withColumn("__ended", F.coalesce(F.max(ended.cast("int")).over(before), F.lit(0)) == 1)
-    d = d.withColumn("__part", F.sum(F.when(F.col("__anchor") & ~F.col("__ended"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(by, "__part").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("frontier", F.coalesce(F.max(F.when(~F.col("__ended"), F.col(order))).over(inner), F.lit(0)))
-    d = d.withColumn("__ok", ~F.col("__anchor") & ~F.col("__ended") & (F.col(order) > F.col("frontier")))
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    flag = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    d = rows.withColumns({"__anchor": flag(recovery), "__closes": flag(closed)})
+    d = d.withColumn("__part", F.sum(F.col("__anchor").cast("int")).over(so_far))
+    part = Window.partitionBy(by, "__part").orderBy(*arrival)
+    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({"__after": F.max(order).over(part.rowsBetween(Window.unboundedPreceding, 0)), "__floor": F.coalesce(F.max(F.when(F.col("__anchor"), F.col(order))).over(whole), F.lit(0))})
+    d = d.withColumn("__after", F.greatest("__after", F.lit(0)))
+    d = d.withColumn("frontier", F.coalesce(F.lag("__after").over(w), F.lit(0)))
+    d = d.withColumn("__ok", F.col("__anchor") | (F.col(order) > F.col("frontier")))
+    d = d.withColumn("__end", F.first(F.when(F.col("__ok") & F.col("__closes"), F.col(order)), True).over(before))
     same = Window.partitionBy(by, "__part", order).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__dup", F.coalesce(F.max((F.col("__ok") | F.col("__anchor")).cast("int")).over(same), F.lit(0)) == 1)
-    start = Window.partitionBy(by, "__part").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    low = F.coalesce(F.max(F.when(F.col("__anchor"), F.col(order))).over(start), F.lit(0))
+    seen = F.coalesce(F.max(F.col("__ok").cast("int")).over(same), F.lit(0)) == 1
     verdict = (
-        F.when(F.col("__ended"), "rejected").when(F.col("__anchor"), "anchor").when(F.col("__ok") & (F.col(order) == F.col("frontier") + 1), "applied")
-        .when(F.col("__ok"), "gap").when(F.col("__dup") | (F.col(order) <= low), "duplicate").otherwise("late")
+        F.when(F.col("__end").isNotNull(), "rejected").when(F.col("__anchor"), "anchor").when(F.col("__ok") & F.col("__closes"), "terminator").when(F.col("__ok") & (F.col(order) == F.col("frontier") + 1), "applied")
+        .when(F.col("__ok"), "gap").when(seen | (F.col(order) <= F.col("__floor")), "duplicate").otherwise("late")
     )
-    return d.withColumn("verdict", verdict).drop("__anchor", "__ended", "__part", "__ok", "__dup")
+    d = d.withColumns({"verdict": verdict, "frontier": F.coalesce("__end", "frontier")})
+    return d.drop("__anchor", "__closes", "__part", "__after", "__floor", "__ok", "__end")
 
 
 def carry_forward(rows: DataFrame, by: str, order: list[str], column: str) -> DataFrame:

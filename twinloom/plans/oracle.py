@@ -121,6 +121,14 @@ ORACLE_SQL: dict[str, str] = {
     "receive_protocol": f"""with {ARRIVALS}, f as (select *, coalesce(max(sequence) over (partition by user_id order by arrival, copy, sequence rows between unbounded preceding and 1 preceding), 0) as frontier from r),
       v as (select *, coalesce(max((sequence > frontier)::int) over (partition by user_id, sequence order by arrival, copy rows between unbounded preceding and 1 preceding), 0) as seen from f)
       select user_id, sequence, arrival, copy, frontier, case when sequence = frontier + 1 then 'applied' when sequence > frontier then 'gap' when seen = 1 then 'duplicate' else 'late' end as verdict from v""",
+    "receive_with_anchors": f"""with {ARRIVALS}, a as (select *, event_id % 31 = 0 and copy = 0 as anchor, event_id % 37 = 0 as closes from r),
+      p as (select *, sum(anchor::int) over w as part, row_number() over w as rn from a window w as (partition by user_id order by arrival, copy, sequence rows unbounded preceding)),
+      q as (select *, max(sequence) over (partition by user_id, part order by rn rows unbounded preceding) as after, coalesce(max(case when anchor then sequence end) over (partition by user_id, part), 0) as floor from p),
+      f as (select *, coalesce(lag(after) over (partition by user_id order by rn), 0) as fr from q),
+      e as (select *, min(case when (anchor or sequence > fr) and closes then rn end) over (partition by user_id) as ended from f),
+      g as (select *, max(case when rn = ended then sequence end) over (partition by user_id) as last_one, coalesce(max((anchor or sequence > fr)::int) over (partition by user_id, part, sequence order by rn rows between unbounded preceding and 1 preceding), 0) as seen from e)
+      select user_id, sequence, arrival, copy, case when rn > ended then last_one else fr end as frontier, case when rn > ended then 'rejected' when anchor then 'anchor' when sequence > fr and closes then 'terminator' when sequence = fr + 1 then 'applied'
+      when sequence > fr then 'gap' when seen = 1 or sequence <= floor then 'duplicate' else 'late' end as verdict from g""",
     "materialise_versions": f"""with {DELTAS} select user_id, event_id, case when last_value(case when op <> 0 then op end ignore nulls) over w = 1 then last_value(x ignore nulls) over w end as x, last_value(y ignore nulls) over w as y
       from d window w as (partition by user_id order by at_us, event_id rows between unbounded preceding and current row)""",
     "origin_carry_forward": f"with {OBS} select event_id, last_value(case when event_id % 4 = 0 then props end ignore nulls) over (partition by user_id order by at_us, event_id rows between unbounded preceding and current row) as origin from o",
