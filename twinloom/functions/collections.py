@@ -13,8 +13,11 @@ def empty_of(kind: T.DataType) -> Column:
 
 
 def minus(a: Column, b: Column) -> Column:
-    """Elements of a that b lacks, duplicates kept. Both are non-null."""
-    return F.filter(a, lambda x: ~F.exists(b, lambda y: x.eqNullSafe(y)))
+    """Elements of a that b lacks, duplicates kept. Both are non-null.
+
+    The missing values come from a hashed difference; only these few are compared with a's elements.
+    """
+    return F.get(F.transform(F.array(F.array_except(a, b)), lambda gone: F.when(F.size(gone) == 0, F.filter(a, lambda x: F.lit(False))).otherwise(F.filter(a, lambda x: F.exists(gone, lambda y: x.eqNullSafe(y))))), 0)
 
 
 def array_apply(a: Column, added: Column, removed: Column) -> Column:

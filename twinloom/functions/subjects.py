@@ -39,12 +39,34 @@ def pattern_prefix(pattern: str) -> str:
     return re.split(r"[*>]", pattern, maxsplit=1)[0]
 
 
-def matches(subject: Column, pattern: str) -> Column:
-    """Whether the subject is in the pattern; the literal head is a predicate that reaches the scan."""
-    head, wild = pattern_prefix(pattern), any(p in "*>" for p in pattern.split("."))
+def bounded_token(parts: Column, i: int, last: int) -> Column:
+    """Of all tokens, what bounded_tokens(.., last) has at place i: beyond `last` the rest stays together."""
+    return token(parts, i) if i <= last else F.array_join(F.slice(parts, F.lit(last + 2), F.greatest(F.size(parts) - (last + 1), F.lit(0))), ".")
+
+
+def matches(subject: Column, pattern: str, parts: Column | None = None) -> Column:
+    """Whether the subject is in the pattern; the literal head is a predicate that reaches the scan.
+
+    With the subject's tokens at hand (`parts`), they are compared one by one, and no regular expression runs.
+    """
+    names = pattern.split(".")
+    if ">" in names[:-1]:
+        raise ValueError(f"> is not last in {pattern!r}")
+    head, wild = pattern_prefix(pattern), any(p in "*>" for p in names)
     if not wild:
         return subject == pattern
-    return (subject.startswith(head) if head else F.lit(True)) & subject.rlike(pattern_regex(pattern))
+    found = subject.startswith(head) if head else F.lit(True)
+    if parts is None:
+        return found & subject.rlike(pattern_regex(pattern))
+    many, kept = names[-1] == ">", names[:-1] if names[-1] == ">" else names
+    found = found & (F.size(parts) > len(kept) if many else F.size(parts) == len(kept))
+    for i, name in enumerate(kept):
+        if name == "*":
+            found = found & (token(parts, i) != "")
+        elif "*" in names[:i]:  # before the first wildcard the head has told
+            found = found & (token(parts, i) == name)
+    # what a last > stands for has a character at least
+    return found & ((F.size(parts) > len(names)) | (token(parts, len(kept)) != "")) if many else found
 
 
 def relation_key(sid: Column, st: Column, si: Column, dt: Column) -> Column:

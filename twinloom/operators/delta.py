@@ -18,14 +18,26 @@ from twinloom.operators import header as H
 from twinloom.operators.schema import ASSERT, HEADER, IGNORE, RETRACT, FieldKind, TwinSchema, delta_type, inner_kinds, zero_of
 
 
-def _same(a: Column, b: Column, t: T.DataType) -> Column:
-    """Equality with nulls; maps by their sorted entries."""
+def _holds_map(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _holds_map(t.elementType)
+    return isinstance(t, T.MapType) or isinstance(t, T.StructType) and any(_holds_map(f.dataType) for f in t.fields)
+
+
+def _comparable(a: Column, t: T.DataType) -> Column:
+    """a with maps, at any depth, as sorted entries."""
+    if not _holds_map(t):
+        return a
+    if isinstance(t, T.ArrayType):
+        return F.transform(a, lambda x: _comparable(x, t.elementType))
     if isinstance(t, T.MapType):
-        return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
-    if isinstance(t, T.StructType):
-        parts = [_same(a[f.name], b[f.name], f.dataType) for f in t.fields]
-        return a.isNull().eqNullSafe(b.isNull()) & reduce(lambda x, y: x & y, parts, F.lit(True))
-    return a.eqNullSafe(b)
+        return F.array_sort(F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), _comparable(e["value"], t.valueType).alias("value"))))
+    return F.when(a.isNotNull(), F.struct(*(_comparable(a[f.name], f.dataType).alias(f.name) for f in t.fields)))
+
+
+def _same(a: Column, b: Column, t: T.DataType) -> Column:
+    """Equality with nulls; maps, at any depth, by their sorted entries."""
+    return _comparable(a, t).eqNullSafe(_comparable(b, t))
 
 
 def _op(op: Column, value: Column, t: T.DataType) -> Column:
@@ -136,6 +148,41 @@ def coalesce_fold(snapshot: Column, deltas: Column, twin: TwinSchema) -> Column:
     return F.reduce(deltas, F.struct(F.lit(None).cast("string").alias("error"), snapshot.alias("snapshot")).cast(kind), step)
 
 
+def compose_field(d: Column, e: Column, k: FieldKind, deep: bool = False) -> Column:
+    """The one change that d and then e make."""
+    if k.kind == "key":
+        return F.coalesce(e, d)
+    if k.kind == "atomic":
+        return F.when(e["op"].isNull() | (e["op"] == IGNORE), d).otherwise(e)
+    if k.clearable:
+        raise TypeError(f"{k.name}: clearing and then changing isn't one change")
+    t = delta_type(k, deep)
+    if k.kind == "struct":
+        made = F.struct(*(compose_field(d[x.name], e[x.name], x, deep).alias(x.name) for x in inner_kinds(k.type, deep) if x.kind != "suppressed"))
+    elif k.kind == "array":
+        made = F.struct(F.concat(K.minus(d["added"], e["removed"]), e["added"]).alias("added"), F.array_distinct(F.concat(d["removed"], e["removed"])).alias("removed"))
+    else:
+        kept = F.map_filter(d["updated"], lambda key, _: ~F.array_contains(e["removed"], key) & ~F.map_contains_key(e["updated"], key))
+        made = F.struct(F.array_distinct(F.concat(d["removed"], e["removed"])).alias("removed"), F.map_concat(kept, e["updated"]).alias("updated"))
+    return F.when(d.isNull(), e).when(e.isNull(), d).otherwise(made.cast(t))
+
+
+def compose(deltas: Column, twin: TwinSchema) -> Column:
+    """The deltas (an array, in order, not empty) as one that does the same to any snapshot. Clearable fields have none.
+
+    With a header, it is the last delta's, with the provenance of all.
+    """
+    t = twin.delta_schema()
+
+    def step(d: Column, e: Column) -> Column:
+        head = []
+        if twin.header:
+            head = [F.struct(*((H.concatenated(d[HEADER], e[HEADER]) if f == "provenance" else e[HEADER][f]).alias(f) for f in t[HEADER].dataType.names)).alias(HEADER)]
+        return F.struct(*head, *(compose_field(d[k.name], e[k.name], k, twin.nested_clearable).alias(k.name) for k in twin.fields if k.kind != "suppressed")).cast(t)
+
+    return F.reduce(F.slice(deltas, F.lit(2), F.size(deltas)), F.get(deltas, 0).cast(t), step)
+
+
 def versions(deltas: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
     """All versions of atomic fields: each row has every field's last asserted value so far on its chain."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -43,6 +43,12 @@ def _shared(s: Column, d: Column, left: str, right: str) -> list[tuple[Column, s
     ]
 
 
+def concatenated(s: Column, d: Column) -> Column:
+    """The provenance of one header and then of another; null if neither has one."""
+    none = F.array().cast(T.ArrayType(ORIGIN))
+    return F.when(s["provenance"].isNotNull() | d["provenance"].isNotNull(), F.concat(*(F.coalesce(x["provenance"], none) for x in (s, d))))
+
+
 def header_after_apply(s: Column, d: Column) -> Column:
     """The header of snapshot s after delta d: sequences rise (gaps are allowed), effective times don't fall, and a
     closed chain takes no more. Provenance is appended; anchors' and quality fields are empty."""
@@ -52,8 +58,7 @@ def header_after_apply(s: Column, d: Column) -> Column:
         (d["effective_at"] < s["effective_at"], "effective time before the snapshot's"),
         (s["closed"].isNotNull(), "chain closed"),
     ]
-    both = F.when(s["provenance"].isNotNull() | d["provenance"].isNotNull(), F.concat(*(F.coalesce(x["provenance"], F.array().cast(T.ArrayType(ORIGIN))) for x in (s, d))))
-    return _checked(checks, _made(s, d, both))
+    return _checked(checks, _made(s, d, concatenated(s, d)))
 
 
 def header_for_diff(a: Column, b: Column) -> Column:
@@ -81,6 +86,17 @@ def terminator(h: Column, sequence: Column, closed: Column, published_at: Column
     return _anchor(entity_id=h["entity_id"], chain_id=h["chain_id"], effective_at=closed, published_at=published_at, sequence=sequence, closed=closed, next_chain_id=next_chain_id)
 
 
+def reset(h: Column, sequence: Column, at: Column, published_at: Column, successor: Column) -> tuple[Column, Column]:
+    """A handover: the predecessor's terminator and the successor's birth, each naming the other."""
+    return terminator(h, sequence, at, published_at, successor), birth(h["entity_id"], successor, at, published_at, h["chain_id"])
+
+
+def rotated(h: Column, offset: Column, published_at: Column, solution: str, component: str, instance: str) -> Column:
+    """The header of a new writer's delta, `offset` (1 or more) after the last one: same chain, no anchor fields, its own origin."""
+    origin = F.struct(published_at.alias("published_at"), F.lit(None).cast("timestamp").alias("valid_until"), F.lit(solution).alias("solution"), F.lit(component).alias("component"), F.lit(instance).alias("instance"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return _anchor(entity_id=h["entity_id"], chain_id=h["chain_id"], sequence=h["sequence"] + F.greatest(offset, F.lit(1)), effective_at=h["effective_at"], published_at=published_at, provenance=F.array(origin))
+
+
 def _anchor(**parts: Column | None) -> Column:
     return F.struct(*((parts[f.name] if parts.get(f.name) is not None else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields))
 

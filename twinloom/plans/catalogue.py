@@ -212,19 +212,18 @@ def route_live(spark, sf_dir):
     return r.select("event_id", "egress")
 
 
-def _nation_suppliers(spark, sf_dir) -> DataFrame:
-    """Relations of every customer to its nation's suppliers."""
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    j = c.join(s, c.c_nationkey == s.s_nationkey)
-    return j.select(F.concat(F.lit("twin.sol.s1.r.kv.user."), F.col("c_custkey").cast("string"), F.lit(".supplier.set")).alias("key"), F.col("s_suppkey").cast("string").alias("di"))
-
-
 @query
 def route_cross_product(spark, sf_dir):
-    """Two relation sets: all combinations of a user's types and suppliers."""
-    rel = keyed(user_edges(spark, sf_dir)).select("key", "di").unionByName(_nation_suppliers(spark, sf_dir))
-    r = _route("x.${types}.y.${suppliers}.z.${5}", types=USER_TYPES, suppliers="twin.sol.${2}.r.kv.user.${5}.supplier.set")
-    return routes.expand(observations(spark, sf_dir), r, rel).select("event_id", "egress")
+    """Two relation sets: all combinations of a user's types and its nation's suppliers.
+
+    The nation is looked up on a level of its own, so suppliers are kept once a nation and not once a customer.
+    """
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nations = c.select(F.concat(F.lit("twin.sol.s1.r.kv.user."), F.col("c_custkey").cast("string"), F.lit(".nation.set")).alias("key"), F.col("c_nationkey").cast("string").alias("di"))
+    suppliers = s.select(F.concat(F.lit("twin.sol.s1.r.kv.nation."), F.col("s_nationkey").cast("string"), F.lit(".supplier.set")).alias("key"), F.col("s_suppkey").cast("string").alias("di"))
+    one = routes.expand(observations(spark, sf_dir), _route("at.${2}.${5}.${nation}", nation="twin.sol.${2}.r.kv.user.${5}.nation.set"), nations, on_empty="blank").select("event_id", F.col("egress").alias("subject"))
+    r = routes.Route("x", "at.*.*.*", "x.${types}.y.${suppliers}.z.${2}", {"types": "twin.sol.${1}.r.kv.user.${2}.type.set", "suppliers": "twin.sol.${1}.r.kv.nation.${3}.supplier.set"})
+    return routes.expand(one, r, keyed(user_edges(spark, sf_dir)).select("key", "di").unionByName(suppliers)).select("event_id", "egress")
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
@@ -271,7 +270,9 @@ def route_many(spark, sf_dir):
 
 @query
 def payload_pass_through(spark, sf_dir):
-    return routes.expand(observations(spark, sf_dir), _route("p.${5}.${types}", types=USER_TYPES), keyed(user_edges(spark, sf_dir))).groupBy("egress").agg(F.count("*").alias("n"), F.max("props").alias("payload"))
+    """Payload and columns of a message stand unchanged beside each of its expansions."""
+    m = observations(spark, sf_dir).withColumnRenamed("props", "payload")
+    return routes.expand(m, _route("p.${5}.${types}", types=USER_TYPES), keyed(user_edges(spark, sf_dir))).select("event_id", "egress", "payload", "value", "at_us")
 
 
 # ---------------------------------------------------------------- tables
@@ -446,7 +447,10 @@ def coalesce_nested(spark, sf_dir):
         F.struct(F.when(s == "signup", F.array(F.lit("view"))).otherwise(F.array().cast(strings)).alias("removed"), F.create_map(s, F.col("event_id")).cast(longs).alias("updated")).alias("last"),
         F.struct(F.lit(1).cast("byte").alias("op"), F.col("event_id").alias("value")).alias("seen"),
     )
-    chains = o.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at_us", "event_id", d.alias("d"))), _by_time).alias("c"))
+    slot = F.expr(f"at_us div {24 * HOUR_US}").alias("slot")
+    days = o.groupBy("user_id", slot).agg(F.array_sort(F.collect_list(F.struct("at_us", "event_id", d.alias("d"))), _by_time).alias("c"))
+    one = days.select("user_id", "slot", delta.compose(F.transform("c", lambda x: x["d"]), STATE_TWIN).alias("d"))  # a day's deltas at most in one array
+    chains = one.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("slot", "d")), lambda x, y: F.when(x["slot"] < y["slot"], -1).otherwise(1)).alias("c"))
     zero = F.struct(F.col("user_id").alias("key"), F.array().cast(strings).alias("kinds"), F.create_map().cast(longs).alias("last"), F.lit(0).cast("long").alias("seen"))
     r = chains.select("user_id", delta.coalesce_fold(zero, F.transform("c", lambda x: x["d"]), STATE_TWIN)["snapshot"].alias("s"))
     return r.select("user_id", F.array_join(F.array_sort("s.kinds"), ",").alias("kinds"), K.map_as_text(F.col("s.last")).alias("last"), F.col("s.seen").alias("seen"))

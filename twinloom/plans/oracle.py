@@ -75,7 +75,7 @@ ORACLE_SQL: dict[str, str] = {
       where c_custkey is not null""",
     "route_many": f"""with {EDGES} select event_id, 'a' as route_id, 'a.' || user_id || '.' || coalesce(di, '') as egress from o left join e on e.si = o.user_id::varchar where event_type = 'click'
       union all select event_id, 'b', 'b.' || user_id from o where event_type = 'view'""",
-    "payload_pass_through": f"""with {EDGES}, x as (select 'p.' || user_id || '.' || coalesce(di, '') as egress, props from o left join e on e.si = o.user_id::varchar) select egress, count(*) as n, max(props) as payload from x group by egress""",
+    "payload_pass_through": f"""with {EDGES} select event_id, 'p.' || user_id || '.' || coalesce(di, '') as egress, props as payload, value, at_us from o left join e on e.si = o.user_id::varchar""",
     "latest_per_key": "select o_custkey, o_orderkey, o_orderstatus, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) where rn = 1",
     "latest_with_deletes": f"with {OBS} select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by at_us desc, event_id desc) as rn from o) where rn = 1 and event_type <> 'error'",
     "view_containment": f"""with {EDGES} select si, di as member, r_name from e join region on (['click', 'view', 'error', 'signup', 'purchase'])[r_regionkey + 1] = di""",

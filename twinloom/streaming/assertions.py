@@ -1,4 +1,4 @@
-"""Streams of observations to assertions to relation sets: deduplication, keyed state, expiry by event time."""
+"""Streams of observations to assertions to relation sets: deduplication, keyed state, lives of keys, expiry by event time."""
 
 from __future__ import annotations
 
@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from twinloom.operators import relations, rules
+from twinloom.operators import relations, rules, tabulate
+from twinloom.operators.relations import key_ttl_ms  # noqa: F401
 from twinloom.streaming import ready
 
 KEY = relations.KEY
-SETS = "sid string, st string, si string, dt string, ts long, di array<string>, ttl array<long>, exp array<long>"
+SETS = "sid string, st string, si string, dt string, ts long, di array<string>, ttl array<long>, exp array<long>, gone boolean"
+RETRACTIONS = "sid string, st string, si string, dt string, di string, ttl long, exp long"
 #: Assertions of equal ids within this time are one.
 DEDUP_WINDOW = "1 minute"
-#: A shorter life of a key than a second is raised to this.
-SHORT_MS, RAISED_MS = 1000, 2000
 
 
 def assert_stream(messages: DataFrame, rule_list: list[rules.Rule], at: str = "ts", quantise: bool = False, dedup: str | None = DEDUP_WINDOW) -> DataFrame:
-    """Assertions of a stream with an event time; repeats of a msg_id within the window are dropped."""
+    """Assertions of a stream with an event time; repeats of a msg_id within the window are dropped.
+
+    Every query that reads the stream sees all messages (fan-out); a query's tasks share them (a group of consumers).
+    """
     m = messages.withColumn(at, F.col(at).cast("timestamp"))
     if dedup:
         m = m.withWatermark(at, dedup)
@@ -30,87 +33,164 @@ def assert_stream(messages: DataFrame, rule_list: list[rules.Rule], at: str = "t
     return made.dropDuplicatesWithinWatermark(["msg_id"]) if dedup else made
 
 
-def key_ttl_ms(ttl_ms: int) -> int:
-    """How long a key lives that is created with this ttl."""
-    return RAISED_MS if 0 < ttl_ms < SHORT_MS else ttl_ms
-
-
 class SetProcessor(StatefulProcessor):
     """One relation set a key, in a map of destination -> (ttl, exp); every batch emits the sets that it changed.
 
-    Assertions of a batch are applied in the order of (order columns). The same class runs in batch mode.
+    Assertions of a batch are applied in the order of (order columns). With `expire`, relations go when the watermark
+    passes their expiry. With `key_ttl`, a key lives as long as the ttl of the assertion that creates it says and then
+    goes whole (its row has `gone`); the next assertion creates it anew. The same class runs in batch mode.
     """
 
-    def __init__(self, order: list[str], expire: bool = False):
-        self.order, self.expire = order, expire
+    def __init__(self, order: list[str], expire: bool = False, key_ttl: bool = False):
+        self.order, self.expire, self.key_ttl = order, expire, key_ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.edges = handle.getMapState("edges", "di string", "ttl long, exp long")
-        self.meta = handle.getValueState("meta", "ts long, timer long")
+        self.meta = handle.getValueState("meta", "ts long, timer long, dies long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         known = self.meta.exists()
-        ts, timer = self.meta.get() if known else (None, None)
+        ts, timer, dies = self.meta.get() if known else (None, None, None)
         for a in batch.itertuples(index=False):
+            at = int(a.at_ms)
+            if known and dies is not None and at >= dies:
+                self._empty()
+                known, dies = False, None
             if a.ttl > 0:
                 self.edges.updateValue((a.di,), (int(a.ttl), int(a.exp)))
+                if not known and self.key_ttl:
+                    dies = at + key_ttl_ms(int(a.ttl))
                 known = True
             elif known and self.edges.containsKey((a.di,)):
                 self.edges.removeKey((a.di,))
             if known:
-                ts = int(a.exp - a.ttl)
+                ts = at
         if known:
-            if self.expire:
-                timer = self._timer(timer)
-            self.meta.update((ts, timer))
+            self.meta.update((ts, self._timer(timer, dies), dies))
             yield self._row(key, ts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
+        ts, _, dies = self.meta.get()
+        if dies is not None and dies <= now:
+            self._empty()
+            self.meta.clear()
+            yield self._row(key, ts, True)
+            return
         for di in [k[0] for k, v in self.edges.iterator() if v[1] <= now]:
             self.edges.removeKey((di,))
-        ts, _ = self.meta.get()
-        self.meta.update((ts, self._timer(None)))
+        self.meta.update((ts, self._timer(None, dies), dies))
         yield self._row(key, ts)
 
-    def _timer(self, timer):
+    def _empty(self) -> None:
+        for k in [k for k, _ in self.edges.iterator()]:
+            self.edges.removeKey(k)
+
+    def _timer(self, timer: int | None, dies: int | None) -> int | None:
         """One timer at the least expiry."""
-        least = min((v[1] for _, v in self.edges.iterator()), default=None)
+        least = min((v[1] for _, v in self.edges.iterator()), default=None) if self.expire else None
+        least = dies if least is None or dies is not None and dies < least else least
         if timer is not None and timer != least:
             self.handle.deleteTimer(timer)
         if least is not None and timer != least:
             self.handle.registerTimer(least)
         return least
 
-    def _row(self, key, ts) -> pd.DataFrame:
+    def _row(self, key, ts, gone: bool = False) -> pd.DataFrame:
         got: list[tuple] = []
         for k, v in self.edges.iterator():
             bisect.insort(got, (k[0].encode(), k[0], v[0], v[1]))
-        return pd.DataFrame([{**dict(zip(KEY, key, strict=True)), "ts": ts, "di": [x[1] for x in got], "ttl": [x[2] for x in got], "exp": [x[3] for x in got]}])
+        return pd.DataFrame([{**dict(zip(KEY, key, strict=True)), "ts": ts, "di": [x[1] for x in got], "ttl": [x[2] for x in got], "exp": [x[3] for x in got], "gone": gone}])
+
+    def close(self) -> None:
+        pass
+
+
+class ExpiryProcessor(StatefulProcessor):
+    """Retractions (ttl 0) of relations that weren't refreshed, when the watermark passes their expiry.
+
+    State is one entry a relation and one a time at which some expire, each touched only when its time comes.
+    """
+
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.edges = handle.getMapState("edges", "di string", "exp long")
+        self.due = handle.getMapState("due", "exp long", "di array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[str]] = {}
+        late = []
+        for a in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
+            if a.ttl > 0:
+                self.edges.updateValue((a.di,), (int(a.exp),))
+                new.setdefault(int(a.exp), []).append(a.di)
+            elif self.edges.containsKey((a.di,)):
+                self.edges.removeKey((a.di,))
+        for exp, dis in new.items():
+            if exp <= timerValues.getCurrentWatermarkInMs():  # its timer would never come
+                late += [(di, exp) for di in dict.fromkeys(dis) if self._stands(di, exp)]
+            else:
+                known = list(self.due.getValue((exp,))[0]) if self.due.containsKey((exp,)) else []
+                if not known:
+                    self.handle.registerTimer(exp)
+                self.due.updateValue((exp,), (list(dict.fromkeys([*known, *dis])),))
+        yield self._retract(key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        exp = expiredTimerInfo.getExpiryTimeInMs()
+        dis = list(self.due.getValue((exp,))[0]) if self.due.containsKey((exp,)) else []
+        if dis:
+            self.due.removeKey((exp,))
+        yield self._retract(key, [(di, exp) for di in dis if self._stands(di, exp)])
+
+    def _stands(self, di: str, exp: int) -> bool:
+        return self.edges.containsKey((di,)) and self.edges.getValue((di,))[0] == exp
+
+    def _retract(self, key, gone: list[tuple[str, int]]) -> pd.DataFrame:
+        for di, _ in gone:
+            self.edges.removeKey((di,))
+        return pd.DataFrame([(*key, di, 0, exp) for di, exp in gone], columns=[*KEY, "di", "ttl", "exp"])
 
     def close(self) -> None:
         pass
 
 
-def set_stream(assertions: DataFrame, order: list[str], mode: str = "None", expire: bool = False) -> DataFrame:
+def _input(assertions: DataFrame, order: list[str], mode: str) -> DataFrame:
+    at = relations.at_ms(assertions).alias("at_ms")
+    more = dict.fromkeys([c for c in order if c != "at_ms"] + (["ts"] if mode == "EventTime" else []))
+    return ready(assertions.select(*KEY, "di", "ttl", "exp", at, *more))
+
+
+def set_stream(assertions: DataFrame, order: list[str], mode: str = "None", expire: bool = False, key_ttl: bool = False) -> DataFrame:
     """Relation sets as they change, from a stream (or a batch) of assertions: one shuffle on the key.
 
-    mode "EventTime" with expire lets relations go when the watermark passes their expiry.
+    `expire` and `key_ttl` need mode "EventTime" and a watermark on `ts`.
     """
-    rows = assertions.select(*KEY, "di", "ttl", "exp", *order, *(["ts"] if mode == "EventTime" else []))
-    return ready(rows).groupBy(*KEY).transformWithStateInPandas(SetProcessor(order, expire), outputStructType=SETS, outputMode="Update", timeMode=mode)
+    return _input(assertions, order, mode).groupBy(*KEY).transformWithStateInPandas(SetProcessor(order, expire, key_ttl), outputStructType=SETS, outputMode="Update", timeMode=mode)
+
+
+def expiry_stream(assertions: DataFrame, order: list[str]) -> DataFrame:
+    """Retractions of expired relations, to be fed back as assertions; needs a watermark on `ts`."""
+    return _input(assertions, order, "EventTime").groupBy(*KEY).transformWithStateInPandas(ExpiryProcessor(order), outputStructType=RETRACTIONS, outputMode="Append", timeMode="EventTime")
 
 
 def as_sets(rows: DataFrame) -> DataFrame:
-    """The processor's rows as relation sets."""
-    return rows.select(*KEY, "ts", F.transform(F.arrays_zip("di", "ttl", "exp"), lambda x: F.struct(x["di"].alias("di"), x["ttl"].alias("ttl"), x["exp"].alias("exp"))).alias("r"))
+    """The processor's rows as relation sets; keys that are gone are left out."""
+    r = F.transform(F.arrays_zip("di", "ttl", "exp"), lambda x: F.struct(x["di"].alias("di"), x["ttl"].alias("ttl"), x["exp"].alias("exp"))).alias("r")
+    return rows.where(~F.col("gone")).select(*KEY, "ts", r)
+
 
+def follow(batch: DataFrame, path: str, n: int) -> None:
+    """For foreachBatch on set_stream's rows: log the keys that changed (gone ones too) in a versioned table."""
+    tabulate.record(batch.withColumn("batch", F.lit(n).cast("long")), path, n, KEY, ["batch"], "gone")
 
-def follow(batch: DataFrame, path: str, order: str = "__at") -> None:
-    """For foreachBatch: the latest set of each key in a Parquet table, which routes join."""
-    from twinloom.operators.tabulate import upsert
 
-    stamped = batch.withColumn(order, F.current_timestamp())
-    upsert(batch.sparkSession, path, stamped, KEY, ["ts", order])
+def followed(spark, path: str) -> DataFrame:
+    """The latest set of each standing key, as routes join it."""
+    rows = tabulate.read_table(spark, path, KEY, ["batch"])
+    return as_sets(rows if rows is not None else spark.createDataFrame([], f"{SETS}, batch long"))
