@@ -1,12 +1,15 @@
 """Units of the engine: fixtures and laws."""
 
+import ipaddress
+import itertools
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinloom.functions import encoding, lineprotocol
+from twinloom.functions import collections, encoding, lineprotocol
 from twinloom.functions import subjects as S
 from twinloom.operators import delta, header, relations, routes, rules, schema, tabulate
 from twinloom.sources import config, files, simulate
@@ -28,7 +31,7 @@ def test_rule_makes_assertion(spark):
 
 @pytest.mark.parametrize(("limit", "parts"), [(2, 4), (4, 6), (8, 6)])
 def test_bounded_tokens(spark, limit, parts):
-    t = one(spark.range(1).select(S.bounded_tokens(F.lit("one.two.three.four.five.and-more"), limit).alias("t"))).t
+    t = one(spark.range(1).select(S.bounded_tokens(F.lit("a.b.c.d.e.f"), limit).alias("t"))).t
     assert len(t) == parts
 
 
@@ -75,20 +78,20 @@ def test_incremental_equals_whole(spark, events, cut):
     assert [r.asDict(True) for r in parts.collect()] == [r.asDict(True) for r in whole.collect()]
 
 
-ROUTE = routes.Route("my-route", "some.domain.prefix.>", "some.domain.prefix.${thing}.and.${3}.with.more.${other}.numbered.${4}.stuff", {"thing": "some.domain.rel.${3}.set", "other": "some.domain.rel.${5}.list"})
+ROUTE = routes.Route("fleet", "yard.*.truck.>", "dock.${crew}.of.${1}.near.${bay}.row.${4}.end", {"crew": "yard.kv.${1}.crew", "bay": "yard.kv.${5}.bays"})
+HELD = [("yard.kv.north.crew", x) for x in ("ida", "omar", "lin")] + [("yard.kv.cold.bays", x) for x in ("b7", "b9")]
 
 
 def test_route_cross_product(spark):
-    m = spark.createDataFrame([("some.domain.prefix.HELLO.WORLD.TODAY",)], "subject string")
-    rel = spark.createDataFrame([("some.domain.rel.HELLO.set", x) for x in ("Alice", "Bob", "Charles")] + [("some.domain.rel.TODAY.list", x) for x in ("Mars", "Venus")], "key string, di string")
-    got = sorted(r.egress for r in routes.expand(m, ROUTE, rel).collect())
-    assert got == sorted(f"some.domain.prefix.{a}.and.HELLO.with.more.{b}.numbered.WORLD.stuff" for a in ("Alice", "Bob", "Charles") for b in ("Mars", "Venus"))
+    m = spark.createDataFrame([("yard.north.truck.t4.steel.cold",)], "subject string")
+    got = sorted(r.egress for r in routes.expand(m, ROUTE, spark.createDataFrame(HELD, "key string, di string")).collect())
+    assert got == sorted(f"dock.{a}.of.north.near.{b}.row.steel.end" for a in ("ida", "omar", "lin") for b in ("b7", "b9"))
 
 
 def test_route_compiles_to_pieces():
     c = routes.compile_route(ROUTE)
     assert [p.kind for p in c.pieces] == ["literal", "relation", "literal", "token", "literal", "relation", "literal", "token", "literal"]
-    assert c.lookups["thing"] == [routes.Piece("literal", "some.domain.rel."), routes.Piece("token", 3), routes.Piece("literal", ".set")] and c.last_token() == 5
+    assert c.lookups["crew"] == [routes.Piece("literal", "yard.kv."), routes.Piece("token", 1), routes.Piece("literal", ".crew")] and c.last_token() == 5
 
 
 def test_route_errors():
@@ -99,11 +102,43 @@ def test_route_errors():
     assert routes.parse("x.${foo-bar}", routes.TRANSFORM) == [routes.Piece("literal", "x.foo-bar")]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_routing_plan_has_no_nested_loops(spark):
-    m = spark.createDataFrame([("some.domain.prefix.HELLO.WORLD.TODAY",)], "subject string")
-    rel = spark.createDataFrame([("k", "d")], "key string, di string")
-    plan = routes.expand(m, ROUTE, rel)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    """And one read of the messages however many routes there are."""
+    m = spark.createDataFrame([("yard.north.truck.t4.steel.cold",)], "subject string")
+    p = plan(routes.expand_all(m, [ROUTE, routes.Route("two", "yard.>", "x.${1}"), routes.Route("three", "yard.*.truck.>", "y.${crew}", {"crew": "yard.kv.${1}.crew"})], spark.createDataFrame(HELD, "key string, di string")))
+    assert "NestedLoop" not in p and "Cartesian" not in p and p.count("Join") == 2
+
+
+def test_many_routes_of_one_message(spark):
+    m = spark.createDataFrame([("yard.north.truck.t4.steel.cold",), ("yard.south",)], "subject string")
+    rs = [ROUTE, routes.Route("two", "yard.>", "x.${1}"), routes.Route("far", "yard.*", "z.${7}"), routes.Route("off", "yard.>", "w", disabled=True), routes.Route("two", "yard.>", "v.${1}")]
+    got = sorted((r.route_id, r.egress, r.route_error) for r in routes.expand_all(m, rs, spark.createDataFrame(HELD[:1], "key string, di string"), on_empty="blank").collect())
+    assert got == [("far", None, "token out of range"), ("fleet", "dock.ida.of.north.near._.row.steel.end", None), ("two", "v.north", None), ("two", "v.south", None)]
+    assert routes.expand_all(m, rs[3:4], spark.createDataFrame(HELD, "key string, di string")).count() == 0
+
+
+def test_tokens_match_as_patterns_do(spark):
+    subjects = [".".join(x) for n in (1, 2, 3, 4) for x in itertools.product(["a", "b", ""], repeat=n)]
+    d = spark.createDataFrame([(x,) for x in subjects], "subject string").withColumn("t", S.tokens(F.col("subject")))
+    pats = ["a.*.b", "a.>", ">", "*.a", "*.>", "a.b", "*.*.a.>", "a.*", "b.*.>", "*.b.*"]
+    wrong = [~S.matches(F.col("subject"), p).eqNullSafe(S.matches(F.col("subject"), p, F.col("t"))) for p in pats]
+    assert d.select(*(F.count_if(w).alias(str(i)) for i, w in enumerate(wrong))).first() == tuple([0] * len(pats))
+
+
+def test_addresses(spark):
+    given = ["::", "::1", "1::", "fe80::1", "1:0:0:2:0:0:0:3", "1:2:3:4:5:6:7:8", "1::2::3", "1:2:3", "g::1", "", "9.8.7.6", "1.2.3.256", "1:2:3:4:5:6:7:8:9", "0:0:1:0:0:1:0:0", ":1:2:3:4:5:6:7", "12345::", "64:ff9b::9.8.7.6"]
+    rows = spark.createDataFrame([(x,) for x in given], "t string").withColumn("b", S.ip_bytes(F.col("t"))).withColumn("x", S.ip_text(F.col("b")))
+    for r in rows.collect():
+        try:
+            want = ipaddress.ip_address(r.t)
+        except ValueError:
+            assert (r.b, r.x) == (None, None)
+            continue
+        assert (bytes(r.b), r.x) == (want.packed, str(want))
 
 
 @pytest.mark.parametrize(("pattern", "subject", "want"), [("a.*.c", "a.b.c", True), ("a.*.c", "a.b.b.c", False), ("a.>", "a.b.c", True), ("a.>", "a", False), ("a.b", "a.b", True), (">", "x", True), ("a.*", "aab", False), ("a+.b", "aa.b", False)])
@@ -112,10 +147,10 @@ def test_patterns(spark, pattern, subject, want):
 
 
 def test_line_protocol(spark):
-    f = {"free_gb": (F.lit(250), T.LongType()), "used_pct": (F.lit(75.5), T.DoubleType()), "blocks": (F.lit(7.55e79), T.DoubleType()), "online": (F.lit(True), T.BooleanType()), "offset": (F.lit(-33), T.IntegerType()), "message": (F.lit('disk "full" warning!'), T.StringType())}
-    tags = F.create_map(F.lit("device"), F.lit("/dev/sda1"), F.lit("data center"), F.lit("europe-east-1"))
-    line = one(spark.range(1).select(lineprotocol.to_line(F.lit("disk usage"), tags, f, F.lit(1678874400000000000), frozenset({"free_gb"})).alias("x"))).x
-    assert line == 'disk\\ usage,data\\ center=europe-east-1,device=/dev/sda1 blocks=7.55e+79,free_gb=250u,message="disk \\"full\\" warning!",offset=-33i,online=true,used_pct=75.5 1678874400000000000'
+    f = {"left": (F.lit(12), T.LongType()), "level": (F.lit(0.25), T.DoubleType()), "mass": (F.lit(3.1e45), T.DoubleType()), "open": (F.lit(False), T.BooleanType()), "shift": (F.lit(-7), T.IntegerType()), "note": (F.lit('a "b", c'), T.StringType())}
+    tags = F.create_map(F.lit("tank no"), F.lit("7=x"), F.lit("area"), F.lit("west,1"))
+    line = one(spark.range(1).select(lineprotocol.to_line(F.lit("tank state"), tags, f, F.lit(1700000000000000000), frozenset({"left"})).alias("x"))).x
+    assert line == 'tank\\ state,area=west\\,1,tank\\ no=7\\=x left=12u,level=0.25,mass=3.1e+45,note="a \\"b\\", c",open=false,shift=-7i 1700000000000000000'
     with pytest.raises(ValueError):
         lineprotocol.to_line(F.lit("m"), None, {})
 
@@ -180,6 +215,21 @@ def test_apply_of_diff_gives_the_second(spark, pairs):
     assert all(x.name.op == 0 and not x.tags.added and not x.tags.removed and not x.attrs.updated and x.groups.op == 0 for x in same)
 
 
+CHANGE = st.tuples(st.none() | st.sampled_from(["x", "y"]), st.lists(st.sampled_from("abc"), max_size=2), st.lists(st.sampled_from("abc"), max_size=2), st.lists(st.sampled_from("pq"), max_size=2), st.dictionaries(st.sampled_from("pqr"), st.integers(0, 3), max_size=2))
+PLAIN = schema.TwinSchema(T.StructType(TWIN.schema.fields[:4]), header=False)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(CHANGE, min_size=1, max_size=5), min_size=5, max_size=20))
+def test_composed_deltas_do_the_same(spark, chains):
+    delta_of = lambda c: (1, (1, c[0]) if c[0] else (0, None), (c[1], c[2]), (c[3], c[4]))
+    df = spark.createDataFrame([((1, "n", ["a", "b"], {"p": 9, "q": 8}), [delta_of(c) for c in chain]) for chain in chains], T.StructType([T.StructField("s", PLAIN.schema), T.StructField("d", T.ArrayType(PLAIN.delta_schema()))]))
+    one_by_one = delta.coalesce_fold(F.col("s"), F.col("d"), PLAIN)["snapshot"].alias("one")
+    at_once = delta.apply(F.col("s"), delta.compose(F.col("d"), PLAIN), PLAIN)["snapshot"].alias("two")
+    for r in df.select(one_by_one, at_once).collect():
+        assert (r.one.name, sorted(r.one.tags), r.one.attrs) == (r.two.name, sorted(r.two.tags), r.two.attrs)
+
+
 def test_anchors(spark):
     at = F.timestamp_micros(F.lit(10))
     b = header.birth(F.unhex(F.lit("ab" * 32)), F.lit("c"), at, at)
@@ -207,9 +257,58 @@ def test_files_and_config(spark, tmp_path):
 
 def test_upsert(spark, tmp_path):
     p = str(tmp_path / "u")
+    rows = lambda: sorted((r.k, r.x) for r in tabulate.read_table(spark, p, ["k"], ["v"]).collect())
+    assert tabulate.read_table(spark, p, ["k"], ["v"]) is None
     tabulate.upsert(spark, p, spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string"), ["k"], ["v"])
+    before = tabulate.read_table(spark, p, ["k"], ["v"])
     tabulate.upsert(spark, p, spark.createDataFrame([(1, 2, "c"), (3, 1, "d")], "k int, v int, x string"), ["k"], ["v"])
-    assert sorted((r.k, r.x) for r in spark.read.parquet(p).collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    assert rows() == [(1, "c"), (2, "b"), (3, "d")] and sorted(r.x for r in before.collect()) == ["a", "b"]  # a reader that had begun goes on
+
+
+def test_a_crash_leaves_the_last_table(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "u")
+    tabulate.upsert(spark, p, spark.createDataFrame([(1, 1)], "k int, v int"), ["k"], ["v"])
+    with monkeypatch.context() as m:
+        m.setattr(tabulate, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            tabulate.upsert(spark, p, spark.createDataFrame([(1, 2)], "k int, v int"), ["k"], ["v"])
+    assert [r.v for r in tabulate.read_table(spark, p, ["k"], ["v"]).collect()] == [1]
+
+
+def test_changes_are_logged_once_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tabulate, "COMPACT", 3)
+    p, kind = str(tmp_path / "t"), "k int, x string, gone boolean, batch int"
+    plan = [[(1, "a"), (2, "a")], [(1, "b")], [(2, None)], [(3, "c")], [(1, "d"), (2, "e")]]
+    for n, rows in enumerate(plan):
+        batch = spark.createDataFrame([(k, x, x is None, n) for k, x in rows], kind)
+        tabulate.record(batch, p, n, ["k"], ["batch"], "gone")
+        tabulate.record(batch, p, n, ["k"], ["batch"], "gone")  # a batch that comes again
+        want = dict(kv for part in plan[: n + 1] for kv in part)
+        got = tabulate.read_table(spark, p, ["k"], ["batch"])
+        assert {r.k: r.x for r in got.where("not gone").collect()} == {k: x for k, x in want.items() if x is not None}
+    assert len(tabulate._pointer(spark, p)["log"]) == 2
+    tabulate.record(spark.createDataFrame([(9, "late", False, 1)], kind), p, 1, ["k"], ["batch"], "gone")
+    assert tabulate.read_table(spark, p, ["k"], ["batch"]).where("k = 9").count() == 0
+
+
+def test_constraint_of_ties(spark):
+    rows = [("s", "a", si, "b", di, 1, exp) for si, di, exp in (("1", "x", 5), ("1", "y", 5), ("2", "x", 5), ("3", "z", 1), ("3", "z2", 2), ("4", "z2", 9))]
+    kept, gone = relations.constrain(spark.createDataFrame(rows, "sid string, st string, si string, dt string, di string, ttl long, exp long"))
+    assert sorted((r.si, r.di) for r in kept.collect()) == [("1", "y"), ("2", "x"), ("4", "z2")]
+    assert sorted((r.si, r.di, r.ttl) for r in gone.collect()) == [("1", "x", 0), ("3", "z", 0), ("3", "z2", 0)]
+
+
+def test_differences_of_repeated_and_null_elements(spark):
+    d = spark.createDataFrame([([1, 1, None, 2, None], [2, 3]), ([], [1]), ([1], []), ([None], [None])], "a array<int>, b array<int>")
+    assert [r[0] for r in d.select(collections.minus(F.col("a"), F.col("b"))).collect()] == [[1, 1, None, None], [], [1], []]
+
+
+def test_equality_of_maps_at_any_depth(spark):
+    t = T.StructType([schema.tagged("key", T.LongType(), schema.KEY), schema.tagged("deep", T.ArrayType(T.StructType([T.StructField("m", T.MapType(T.StringType(), T.ArrayType(T.MapType(T.StringType(), T.LongType()))))])))])
+    twin = schema.TwinSchema(t, header=False)
+    one_, two, other = ([({"a": [{"x": 1, "y": 2}], "b": None},)], [({"b": None, "a": [{"y": 2, "x": 1}]},)], [({"a": [{"x": 1, "y": 3}], "b": None},)])
+    df = spark.createDataFrame([((1, a), (1, b)) for a, b in ((one_, two), (one_, other), (None, one_), (None, None))], T.StructType([T.StructField("a", t), T.StructField("b", t)]))
+    assert [r[0] for r in df.select(delta.diff(F.col("a"), F.col("b"), twin)["delta"]["deep"]["op"]).collect()] == [0, 1, 1, 0]
 
 
 def test_simulation(spark):

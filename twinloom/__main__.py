@@ -1,10 +1,11 @@
-"""Thin command line: python -m twinloom COMMAND ... (relate, route, tabulate, tools)."""
+"""Thin command line: python -m twinloom COMMAND ... (relate, route, tabulate, transform, tools)."""
 
 from __future__ import annotations
 
 import argparse
 import base64
 import ipaddress
+import json
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,58 @@ def decode(args: argparse.Namespace) -> None:
     files.sets_to_json(_session().read.parquet(args.sets)).write.mode("overwrite").text(args.out)
 
 
+def encode(args: argparse.Namespace) -> None:
+    """JSON lines back to relation sets; lines that aren't any are left out."""
+    from twinloom.sources import files
+
+    files.sets_from_json(_session().read.text(args.lines)).where("corrupt is null").drop("corrupt").write.mode("overwrite").parquet(args.out)
+
+
+def expire(args: argparse.Namespace) -> None:
+    """Retractions of relations that have expired."""
+    from pyspark.sql import functions as F
+
+    from twinloom.operators import relations
+
+    relations.expiries(relations.edges_of(_session().read.parquet(args.sets)), F.lit(args.as_of)).write.mode("overwrite").parquet(args.out)
+
+
+def constrain(args: argparse.Namespace) -> None:
+    """Retractions that leave each source, destination or both with its newest relation."""
+    from twinloom.operators import relations
+
+    rows = relations.edges_of(_session().read.parquet(args.sets))
+    relations.constrain(rows, args.side != "backward", args.side != "forward")[1].write.mode("overwrite").parquet(args.out)
+
+
+def downsample(args: argparse.Namespace) -> None:
+    """Count, sum and extremes of a value in slots of time."""
+    from pyspark.sql import functions as F
+
+    from twinloom.operators import transform
+
+    v = [F.count("*").alias("n"), F.sum(args.value).alias("total"), F.min(args.value).alias("least"), F.max(args.value).alias("most")]
+    transform.aggregate(_session().read.parquet(args.rows), args.by.split(","), args.at, args.width, v, args.slide).write.mode("overwrite").parquet(args.out)
+
+
+def compare(args: argparse.Namespace) -> None:
+    """Rows beside their predecessors."""
+    from twinloom.operators import transform
+
+    transform.compare(_session().read.parquet(args.rows), args.by.split(","), args.order.split(","), args.columns.split(",")).write.mode("overwrite").parquet(args.out)
+
+
+def annotate(args: argparse.Namespace) -> None:
+    """Rows with renamed fields that keep origin and physical type."""
+    from pyspark.sql import functions as F
+
+    from twinloom.operators import schema
+
+    df = _session().read.parquet(args.rows)
+    t = schema.annotate(df.schema, json.loads(args.names))
+    df.select(*(F.col(f"`{f.metadata['origin']}`").alias(f.name, metadata=f.metadata) for f in t.fields)).write.mode("overwrite").parquet(args.out)
+
+
 def route(args: argparse.Namespace) -> None:
     """Messages (subject, ...) to expansions over relation sets."""
     from twinloom.operators import routes
@@ -62,6 +115,7 @@ def main(argv: list[str] | None = None) -> None:
     commands = top.add_subparsers(required=True)
     for f, options in (
         (relate, ("messages", "rules", "out")), (decode, ("sets", "out")), (route, ("messages", "routes", "sets", "out")), (record, ("rows", "out")), (ip, ("value",)),
+        (encode, ("lines", "out")), (expire, ("sets", "out")), (constrain, ("sets", "out")), (downsample, ("rows", "out")), (compare, ("rows", "out")), (annotate, ("rows", "out")),
     ):
         p = commands.add_parser(f.__name__, help=f.__doc__)
         p.set_defaults(run=f)
@@ -74,6 +128,18 @@ def main(argv: list[str] | None = None) -> None:
         elif f is record:
             p.add_argument("--key", required=True)
             p.add_argument("--order", required=True)
+        elif f is expire:
+            p.add_argument("--as-of", type=int, required=True)
+        elif f is constrain:
+            p.add_argument("--side", default="both", choices=["both", "forward", "backward"])
+        elif f is annotate:
+            p.add_argument("--names", default="{}")
+        elif f in (downsample, compare):
+            for o in ("--by", *(("--at", "--value") if f is downsample else ("--order", "--columns"))):
+                p.add_argument(o, required=True)
+            if f is downsample:
+                p.add_argument("--width", type=int, required=True)
+                p.add_argument("--slide", type=int)
         elif f is ip:
             p.add_argument("--back", action="store_true")
     args = top.parse_args(argv)

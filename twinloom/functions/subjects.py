@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,3 +97,52 @@ def ipv4_bytes(text: Column) -> Column:
 
 def ipv4_text(raw: Column) -> Column:
     return F.when(F.octet_length(raw) == 4, F.concat_ws(".", *(F.conv(F.substring(F.hex(raw), 2 * i + 1, 2), 16, 10) for i in range(4))))
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def ipv6_bytes(text: Column) -> Column:
+    """The sixteen bytes of an address with colons (`::` and a dotted tail too); null if it isn't one."""
+    dotted = r"^(.*:)(\d+\.\d+\.\d+\.\d+)$"
+    none = F.array().cast("array<string>")
+    tail = F.hex(ipv4_bytes(F.regexp_extract(text, dotted, 2)))
+    in_hex = _with(tail, lambda t: F.concat(F.regexp_extract(text, dotted, 1), F.substring(t, 1, 4), F.lit(":"), F.substring(t, 5, 4)))
+    groups = lambda c: F.when(c == "", none).otherwise(F.split(c, ":", -1))
+
+    def of_halves(halves: Column) -> Column:
+        left, right = groups(F.get(halves, 0)), F.when(F.size(halves) == 2, groups(F.get(halves, 1))).otherwise(none)
+        return _with(F.struct(F.size(halves).alias("halves"), left.alias("left"), right.alias("right")), of_groups)
+
+    def of_groups(x: Column) -> Column:
+        n = F.size(x["left"]) + F.size(x["right"])
+        every = F.concat(x["left"], F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0))), x["right"])
+        ok = ((x["halves"] == 1) & (n == 8)) | ((x["halves"] == 2) & (n < 8))
+        return F.when(ok & F.forall(every, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")), F.unhex(F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")))
+
+    return _with(F.split(F.when(text.rlike(dotted), in_hex).otherwise(text), "::", -1), of_halves)
+
+
+def ipv6_text(raw: Column) -> Column:
+    """The canonical text: lower case, no leading zeros, the first of the longest runs of zero groups as `::`."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.conv(F.substring(F.hex(raw), 4 * i + 1, F.lit(4)), 16, 16)))
+
+    def shortened(whole: Column) -> Column:
+        out = whole
+        for k in range(2, 9):  # the longest comes last and counts
+            run = rf"^(|.*?:)0(?::0){{{k - 1}}}(|:.*)$"
+            out = F.when(whole.rlike(run), F.concat(F.rtrim(F.regexp_extract(whole, run, 1), F.lit(":")), F.lit("::"), F.ltrim(F.regexp_extract(whole, run, 2), F.lit(":")))).otherwise(out)
+        return out
+
+    return F.when(F.octet_length(raw) == 16, _with(F.array_join(groups, ":"), shortened))
+
+
+def ip_bytes(text: Column) -> Column:
+    """Four or sixteen bytes."""
+    return F.coalesce(ipv4_bytes(text), ipv6_bytes(text))
+
+
+def ip_text(raw: Column) -> Column:
+    return F.coalesce(ipv4_text(raw), ipv6_text(raw))

@@ -126,6 +126,21 @@ def full_delta(s: Column, twin: TwinSchema) -> Column:
     return F.struct(*([s[HEADER].alias(HEADER)] if twin.header else []), *(one(k).alias(k.name) for k in twin.fields if k.kind != "suppressed"))
 
 
+def is_empty(d: Column, k: FieldKind, deep: bool = False) -> Column:
+    """Whether a field's change changes nothing (a null one too)."""
+    if k.kind == "atomic" or k.clearable:
+        return d.isNull() | (d["op"] == IGNORE)
+    if k.kind == "struct":
+        return d.isNull() | reduce(lambda x, y: x & y, (is_empty(d[x.name], x, deep) for x in inner_kinds(k.type, deep) if x.kind != "suppressed"), F.lit(True))
+    parts = (d["added"], d["removed"]) if k.kind == "array" else (d["removed"], F.map_keys(d["updated"]))
+    return d.isNull() | reduce(lambda x, y: x & y, (F.coalesce(F.size(x) <= 0, F.lit(True)) for x in parts))
+
+
+def unchanged(d: Column, twin: TwinSchema) -> Column:
+    """Whether a delta changes no field."""
+    return reduce(lambda x, y: x & y, (is_empty(d[k.name], k, twin.nested_clearable) for k in twin.fields if k.kind not in ("key", "suppressed")), F.lit(True))
+
+
 def coalesce_rows(deltas: DataFrame, by: list[str], order: str, fields: dict[str, T.DataType]) -> DataFrame:
     """Atomic changes of each chain folded into one: per field the last assert or retract in order.
 

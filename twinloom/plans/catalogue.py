@@ -16,7 +16,7 @@ from twinloom.functions import encoding, lineprotocol
 from twinloom.functions import subjects as S
 from twinloom.operators import chain, delta, header, relations, routes, rules, schema, tabulate, transform
 from twinloom.plans.oracle import ORACLE_SQL  # noqa: F401
-from twinloom.sources import simulate
+from twinloom.sources import files, simulate
 
 DAY = 86_400_000
 HOUR_US = 3_600_000_000
@@ -26,8 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return f(spark, sf_dir)
+        with files.option(spark, "spark.sql.session.timeZone", "UTC"):
+            return f(spark, sf_dir)
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     QUERIES[f.__name__] = run
@@ -473,8 +473,8 @@ def clearable_truth_table(spark, sf_dir):
 # ---------------------------------------------------------------- headers and chains
 
 
-def _headers(spark, sf_dir) -> DataFrame:
-    """Events as headers, broken in turn so that each check fails somewhere, paired with the one before."""
+def _headers(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Events as headers, broken in turn so that each check fails somewhere, paired with the one before (`whole`: the first ones too)."""
     o = observations(spark, sf_dir)
     k = F.col("event_id") % 11
     at = F.timestamp_micros(F.when(k == 4, F.col("at_us") - 40 * 24 * HOUR_US).otherwise(F.col("at_us")))
@@ -483,7 +483,8 @@ def _headers(spark, sf_dir) -> DataFrame:
     values = {"entity_id": eid, "chain_id": F.when(k == 3, F.lit("z")).otherwise(F.lit("c")), "sequence": F.when(k == 5, F.lit(-1)).otherwise(F.col("event_id")), "effective_at": at, "published_at": at, "provenance": origin, "closed": F.when(k == 6, at)}
     h = F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in header.SCHEMA.fields))
     w = Window.partitionBy("user_id").orderBy("at_us", "event_id")
-    return o.select("event_id", "user_id", "at_us", h.alias("d")).withColumn("s", F.lag("d").over(w)).where("s is not null")
+    paired = o.select("event_id", "user_id", "at_us", h.alias("d")).withColumn("s", F.lag("d").over(w))
+    return paired if whole else paired.where("s is not null")
 
 
 @query

@@ -1,7 +1,11 @@
-"""Files in and out: Parquet with nanosecond and unsigned columns, relation sets as JSON, tiers of a lake."""
+"""Files in and out: Parquet with nanosecond and unsigned columns, relation sets as JSON, tiers of a lake, scratch folders."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +16,53 @@ from twinloom.operators.schema import assert_schema, with_zero_defaults
 SET_DDL = f"sid string, st string, si string, dt string, ts bigint, r {RELATION}"
 
 
+@contextmanager
+def option(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session option for what is planned or started inside; it is as before afterwards."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, below spark.checkpoint.dir; it goes when the driver ends.
+
+    Only a session of one machine may do without that option.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _OWN:
+            import tempfile
+
+            _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="scratch")
+        base = _OWN[sc.applicationId]
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None, nanos: list[str] | None = None, zero: bool = False) -> DataFrame:
     """Parquet; with a schema, columns of other types are an error and missing ones null (or zero).
 
     `nanos` names nanosecond times, which are read as whole numbers and become microsecond timestamps.
     """
-    if nanos:
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    df = spark.read.parquet(path)
+    with option(spark, "spark.sql.legacy.parquet.nanosAsLong", "true" if nanos else "false"):
+        df = spark.read.parquet(path)
     for c in nanos or []:
         df = df.withColumn(c, F.timestamp_micros(F.expr(f"`{c}` div 1000")))
     if schema is None:
@@ -53,6 +96,12 @@ def lake_path(base: str, tier: str, view: str, name: str) -> str:
     return f"{base.rstrip('/')}/{tier}/{view}/{name}"
 
 
+def bronze(stream: DataFrame, base: str, view: str, name: str, checkpoint: str, partition: list[str] | None = None, **trigger):
+    """A stream into the bronze tier, as the files come: started, exactly once by its checkpoint. Default trigger: all there is."""
+    w = stream.writeStream.format("parquet").option("path", lake_path(base, "bronze", view, name)).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.partitionBy(*partition) if partition else w).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def explicit(df: DataFrame) -> DataFrame:
     """Dates and intervals of imported rows as the engine has them: durations as nanoseconds (long), unsigned 64-bit as long if it fits, else null."""
     def one(f: T.StructField):

@@ -109,7 +109,8 @@ class SetProcessor(StatefulProcessor):
 
 
 class ExpiryProcessor(StatefulProcessor):
-    """Retractions (ttl 0) of relations that weren't refreshed, when the watermark passes their expiry.
+    """Retractions (ttl 0) of relations that weren't refreshed, when the watermark passes their expiry, or before that when
+    the next assertion of the relation comes and is later.
 
     State is one entry a relation and one a time at which some expire, each touched only when its time comes.
     """
@@ -124,8 +125,11 @@ class ExpiryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new: dict[int, list[str]] = {}
-        late = []
+        late, over = [], []
         for a in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
+            if self.edges.containsKey((a.di,)) and (exp := self.edges.getValue((a.di,))[0]) < a.at_ms:
+                over.append((*key, a.di, 0, exp))
+                self.edges.removeKey((a.di,))
             if a.ttl > 0:
                 self.edges.updateValue((a.di,), (int(a.exp),))
                 new.setdefault(int(a.exp), []).append(a.di)
@@ -139,7 +143,7 @@ class ExpiryProcessor(StatefulProcessor):
                 if not known:
                     self.handle.registerTimer(exp)
                 self.due.updateValue((exp,), (list(dict.fromkeys([*known, *dis])),))
-        yield self._retract(key, late)
+        yield pd.concat([pd.DataFrame(over, columns=[*KEY, "di", "ttl", "exp"]), self._retract(key, late)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         exp = expiredTimerInfo.getExpiryTimeInMs()

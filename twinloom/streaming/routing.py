@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from twinloom.functions import subjects as S
 from twinloom.operators import relations, routes
+from twinloom.streaming import started
 
 
 def relations_of(sets: DataFrame) -> DataFrame:
@@ -24,12 +25,15 @@ def route_stream(messages: DataFrame, route_list: list[routes.Route], lookup: Da
     return routes.expand_all(messages, route_list, lookup, **options)
 
 
-def route_batches(messages: DataFrame, load_routes: Callable[[], list[routes.Route]], load_relations: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
-    """As route_stream, with the routes and relations that stand when a batch begins (add, replace, disable)."""
+def route_batches(messages: DataFrame, load_routes: Callable[[], list[routes.Route]], load_relations: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, **options) -> StreamingQuery:
+    """As route_stream, with the routes and relations that stand when a batch begins (add, replace, disable).
+
+    `trigger` as in streaming.started(); by default all there is, then stop.
+    """
 
     def run(batch: DataFrame, n: int) -> None:
         standing = [r for r in {r.id: r for r in load_routes()}.values() if not r.disabled]
         if standing:
             sink(routes.expand_all(batch, standing, load_relations(), **options), n)
 
-    return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(messages, run, checkpoint, **(trigger or {}))
