@@ -4,7 +4,9 @@ A trie of the pieces gets failure links and, with each link, the number of token
 word's greedy longest-match length comes from one pass over its characters without building a piece.
 
 Words are runs of other than ASCII white space; each gets the mark U+2581 in front. A character that no piece
-covers counts as one token a UTF-8 byte (byte fallback). Null and empty texts have 0 words and 0 tokens.
+covers counts as one token a UTF-8 byte (byte fallback). Null and empty texts have 0 words and 0 tokens. Words of any
+length are read whole; of equal pieces one counts, and the longest match leaves no ties. Repeated rows stay rows with
+equal counts. An empty table gives an empty result. Columns beside key and text don't matter.
 """
 
 from __future__ import annotations
