@@ -54,7 +54,7 @@ def test_sets_in_batch_mode(rocks):
 def test_sets_over_a_stream(rocks, tmp_path):
     a = small(rocks)
     got = finish(assertions.set_stream(as_files(a, str(tmp_path / "in"), catalogue.ORDER, 2), catalogue.ORDER), "sets", tmp_path, "update")
-    last = got.withColumn("n", F.size("di")).groupBy(*relations.KEY).agg(F.max_by(F.struct("ts", "di", "ttl", "exp"), "ts").alias("x")).select(*relations.KEY, "x.*")
+    last = got.withColumn("n", F.size("di")).groupBy(*relations.KEY).agg(F.max_by(F.struct("ts", "di", "ttl", "exp", "gone"), "ts").alias("x")).select(*relations.KEY, "x.*")
     assert facts(assertions.as_sets(last)) == facts(relations.relation_sets(a, catalogue.ORDER))
 
 
