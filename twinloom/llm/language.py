@@ -23,6 +23,8 @@ from twinloom.llm import common as C
 
 #: Bounds of the sample that the classifiers are fitted on: rows a language, and rows of all (but one a language at least).
 SAMPLE_ROWS, SAMPLE_TOTAL = 400, 6000
+#: So many languages' counts are broadcast at most; more are joined by a shuffle.
+BROADCAST = 100_000
 BUCKETS = 1 << 13
 #: A lead in mean loss below this marks a text ambiguous.
 AMBIGUOUS = 0.05
@@ -143,10 +145,11 @@ def train(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     """
     rows = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("o"), F.col(text).cast("string").alias("t"))
     sizes = C.checkpoint(rows.groupBy("l").agg(F.count("*").alias("n")))
-    share = max(1, min(sample_rows, sample_total // max(1, sizes.count())))
+    known = sizes.count()
+    share = max(1, min(sample_rows, sample_total // max(1, known)))
     # of n rows, the `share` least hashes are below this part of all hashes, but for a chance of less than 1e-9
     part = (share + 6 * float(np.sqrt(share)) + 36) / F.col("n")
-    thin = rows.join(sizes, "l").where((F.shiftrightunsigned("o", 11).cast("double") / float(1 << 53)) < part)
+    thin = rows.join(F.broadcast(sizes) if known <= BROADCAST else sizes, "l").where((F.shiftrightunsigned("o", 11).cast("double") / float(1 << 53)) < part)
     one = thin.groupBy("l", "o").agg(F.min("t").alias("t"))
 
     def make():
