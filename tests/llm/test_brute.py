@@ -178,6 +178,20 @@ def test_ranks_of_ranges(spark):
             spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_members_of_keys_crowded_in_a_batch():
+    """A crowded key leaves GROUP + 1 rows and has all its sets as members; the rows of other keys stay."""
+    full = np.array([7 << 40] * 40 + [9 << 40] * lines.GROUP + [11 << 40], np.uint64)
+    rows = np.zeros(len(full), lines._KEY)
+    rows["low"], rows["high"], rows["s"] = full >> np.uint64(32), (full >> np.uint64(16)) & np.uint64(0xFFFF), np.arange(len(full))
+    by = np.random.default_rng(3).permutation(len(full))
+    keys, hashes, members = lines._parted(rows[by], full[by])
+    assert Counter(hashes.tolist()) == {7 << 40: lines.GROUP + 1, 9 << 40: lines.GROUP, 11 << 40: 1}
+    assert sorted(members["s"].tolist()) == list(range(40)) and len(set(members["key"].tolist())) == 1
+    assert lines._distinct(np.concatenate([members, members])).tolist() == sorted(members.tolist())
+    large = [b for b in lines._meet(keys) if b.column(0)[0].as_py() == "large"]
+    assert {x.as_py() for b in large for x in b.column(1)} == set(members["key"].view(np.int64).tolist())
+
+
 def test_bytes_of_words_count(spark):
     """A zero byte is a byte of its own; equal sets in any order of words are one."""
     rows = [(1, "a \x00 b c d"), (2, "a \x01 b c d"), (3, "d c b \x00 A"), (4, "a A b c"), (5, "c b a")]
