@@ -217,6 +217,20 @@ def test_crowded_lines(spark):
         assert got[i] == ("\n".join(kept), 5, 5 - len(kept))
 
 
+def test_lines_of_rows_that_share_a_key(spark):
+    """Unlike texts of one key are told apart: a line goes from the row that it repeats in, and from no other."""
+    rows = [(1, "one two three four\nfive six"), (2, "one two three four\nseven eight"), (2, "nine ten eleven\ntwelve"), (2, "nine ten eleven\ntwelve"), (2, "five six\nnine ten eleven"), (2, None), (None, "five six"), (-3, "twelve")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __number int").repartition(3)
+    order = {r.doc_id: {} for r in df.collect()}
+    for r in df.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+        order[r.doc_id][r.text] = r.h
+    want = plain_gone({(i, h): t for i, of in order.items() if i is not None for t, h in of.items()})
+    got = {r["__number"]: (r.text, r.n_gone) for r in lines.dedup_lines(df, counts=True).collect()}
+    for at, (i, t) in enumerate(rows):
+        go = [n for n in range(2) if t is not None and i is not None and ((i, order[i][t]), n) in want]
+        assert got[at] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in go), len(go))
+
+
 # ---------------------------------------------------------------- pieces
 
 
