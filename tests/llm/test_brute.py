@@ -178,6 +178,26 @@ def test_ranks_of_ranges(spark):
             spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_order_of_words():
+    """Ranks and sorting against plain ones, with words of one slot, equal upper bits and more lines than a number holds."""
+    rng = np.random.default_rng(5)
+    frequent = rng.integers(0, 1 << 64, 3000, np.uint64)
+    frequent[:4] = np.arange(4, dtype=np.uint64) + (np.uint64(1) << np.uint64(63))
+    frequent[4:6] = np.array([(1 << 64) - 1, (1 << 64) - 2], np.uint64)
+    h = np.concatenate([frequent, frequent + np.uint64(1), rng.integers(0, 1 << 64, 5000, np.uint64), np.arange(10, dtype=np.uint64)])
+    place = {int(f): i for i, f in enumerate(frequent)}
+    r = lines.Order(frequent).of(h)
+    assert r.tolist() == [(1 << 63) + len(frequent) - place[x] if x in place else x >> 1 for x in h.tolist()]
+    assert lines.Order(frequent[:0]).of(h).tolist() == (h >> np.uint64(1)).tolist()
+    for near in (h[-10:], h[:-10]):
+        r = np.repeat(lines.Order(frequent).of(near), 2)
+        for most in (50, 1 << 20):
+            line = np.sort(rng.integers(0, most, len(r)))
+            by = lines.Order.sort(line, r)
+            assert list(zip(line[by].tolist(), r[by].tolist(), strict=True)) == sorted(zip(line.tolist(), r.tolist(), strict=True))
+    assert len(lines.Order.sort(line[:0], r[:0])) == 0
+
+
 def test_members_of_keys_crowded_in_a_batch():
     """A crowded key leaves GROUP + 1 rows and has all its sets as members; the rows of other keys stay."""
     full = np.array([7 << 40] * 40 + [9 << 40] * lines.GROUP + [11 << 40], np.uint64)
