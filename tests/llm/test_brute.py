@@ -565,6 +565,21 @@ def test_sample_is_one_row_a_key(spark):
     assert [sorted(map(tuple, r)) for r in rows][0] == sorted(map(tuple, rows[1])) and sorted((r.k, r.y) for r in rows[0]) == [("1", 1), ("2", 0)]
 
 
+def test_sample_is_a_few_files(spark):
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(5)
+    labels = spark.range(300).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sample = common.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "quality", 200, 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sample.inputFiles()) <= 24 and sample.distinct().count() == 200
+
+
 # ---------------------------------------------------------------- toxicity, plainly
 
 
