@@ -212,6 +212,36 @@ def test_members_of_keys_crowded_in_a_batch():
     assert {x.as_py() for b in large for x in b.column(1)} == set(members["key"].view(np.int64).tolist())
 
 
+def test_taken_rows():
+    rows = np.zeros(50, lines._KEY)
+    rows["low"], rows["s"], rows["at"] = np.arange(50), np.arange(50) << 40, np.arange(50) % 7
+    by = np.random.default_rng(1).integers(0, 50, 90)
+    assert lines._taken(rows, by).tolist() == rows[by].tolist() and lines._taken(rows[:0], by[:0]).dtype == lines._KEY
+
+
+def test_frequent_words_of_one_row_in_eight(spark):
+    """Only some rows are counted, the same ones however the rows are dealt."""
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('each each w', id, ' w', id) AS text")
+    got = [set(lines.frequent_words(d, "doc_id", "text").tolist()) for d in (df.coalesce(1), df.repartition(7))]
+    own = {int(h) for h in common.hash_words([f"w{i}" for i in range(400)], common.word_table("any"))}
+    each = int(common.hash_words(["each"], common.word_table("any"))[0])
+    assert got[0] == got[1] and each in got[0] and 10 < len(got[0] & own) < 100
+
+
+def test_sets_are_shuffled_once_for_both_sides(spark):
+    pairs = spark.range(200).selectExpr("id AS a", "id + 1 AS b").repartition(3)
+    first = spark.range(201).selectExpr("id AS s", "id AS k", "id AS line", "10L AS n", "shiftleft(1L, cast(id % 8 AS int)) - 1 AS even", "0L AS odd").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = lines._possible(pairs, first)
+        got = {(r.a, r.b) for r in left.collect()}
+        assert "ReusedExchange" in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {(i, i + 1) for i in range(200) if i % 8 < 7}
+
+
 def test_bytes_of_words_count(spark):
     """A zero byte is a byte of its own; equal sets in any order of words are one."""
     rows = [(1, "a \x00 b c d"), (2, "a \x01 b c d"), (3, "d c b \x00 A"), (4, "a A b c"), (5, "c b a")]
