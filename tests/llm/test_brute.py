@@ -219,6 +219,23 @@ def test_taken_rows():
     assert lines._taken(rows, by).tolist() == rows[by].tolist() and lines._taken(rows[:0], by[:0]).dtype == lines._KEY
 
 
+def test_similar_sets(spark):
+    """At the threshold, above and below it; the filter has the intersection once."""
+    rows = [(list(range(9)), list(range(1, 9))), (list(range(5)), list(range(4))), (list(range(10)), list(range(7))), (list(range(4)), list(range(1, 5))), (list(range(9)), list(range(1, 10)))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i long, a array<bigint>, b array<bigint>").where(lines._similar("a", "b"))
+    want = {i for i, (a, b) in enumerate(rows) if len({*a} & {*b}) / len({*a} | {*b}) >= 0.8 - 1e-12}
+    assert {r.i for r in df.collect()} == want == {0, 1, 4}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+
+
+def test_places_of_lines():
+    texts = ["", "a b\n\nc", "\n", " \n b a ", "x", "", "\ny\n"]
+    raw = [t.encode() for t in texts]
+    t = common.Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+    of, line, bounds, _, sets = lines.Order(np.zeros(0, np.uint64)).lines(t)
+    assert list(zip(of.tolist(), line.tolist(), np.diff(bounds).tolist(), strict=True)) == [(1, 0, 2), (1, 2, 1), (3, 1, 2), (4, 0, 1), (6, 1, 1)] and sets[0] == sets[2]
+
+
 def test_frequent_words_of_one_row_in_eight(spark):
     """Only some rows are counted, the same ones however the rows are dealt."""
     df = spark.range(400).selectExpr("id AS doc_id", "concat('each each w', id, ' w', id) AS text")
