@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -284,6 +285,38 @@ def test_crowded_lines(spark):
         assert got[i] == ("\n".join(kept), 5, 5 - len(kept))
 
 
+def test_rounds_write_few_files(spark, monkeypatch):
+    """Small frames of the rounds of crowded keys are a file each, however many shuffle partitions there are; the lines that go are the same."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(20)]
+    rows = {i: " ".join([*(w if rng.random() < 0.93 else f"x{rng.randrange(400)}" for w in base)]) for i in range(60)}
+    parts, real = [], common.checkpoint
+
+    def counted(df, *rows):
+        done = real(df, *rows)
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(common, "checkpoint", counted)
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = {(r.k, r.line) for r in lines.gone_lines(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == plain_gone(rows) and len(got) > 5
+    assert len(parts) > 8 and sum(n > 1 for n in parts) <= 2
+
+
+def test_files_of_a_checkpoint(spark):
+    df = spark.range(common.FILE_ROWS + 1).repartition(30)
+    assert [common.checkpoint(df, n).rdd.getNumPartitions() for n in (None, 0, common.FILE_ROWS, common.FILE_ROWS + 1, 1 << 40)] == [30, 1, 1, 2, 30]
+    assert common.checkpoint(df, 0).count() == common.FILE_ROWS + 1
+
+
 def test_lines_of_rows_that_share_a_key(spark):
     """Unlike texts of one key are told apart: a line goes from the row that it repeats in, and from no other."""
     rows = [(1, "one two three four\nfive six"), (2, "one two three four\nseven eight"), (2, "nine ten eleven\ntwelve"), (2, "nine ten eleven\ntwelve"), (2, "five six\nnine ten eleven"), (2, None), (None, "five six"), (-3, "twelve")]
@@ -313,6 +346,22 @@ def test_pieces_lossless_and_reproducible(spark, docs, texts, model):
     assert one == {r.doc_id: (r.ids_hash, r.lossless, r.decoded_sha256) for r in pieces.digests(docs.coalesce(1), model).collect()}
 
 
+def test_a_block_of_unlike_words_is_light(model):
+    """Two workers of an executor hold a block's lattices each; ids don't depend on the block."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice('bdfgklmn')}{rng.getrandbits(40):x}" for _ in range(400)) for _ in range(pieces.CHUNK // 4600)]
+    sampler, seeds = pieces.Sampler(model), pieces.seeds_of(list(range(len(texts))))
+    tracemalloc.start()
+    try:
+        ids, bounds = sampler.sample(texts, seeds)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(bounds) == len(texts) + 1 and peak < 200 << 20
+    one, _ = sampler.sample(texts[5:6], seeds[5:6])
+    assert (ids[bounds[5] : bounds[6]] == one).all()
+
+
 def test_samples_follow_the_lattice(model):
     """Frequencies of sampled segmentations against all segmentations' weights."""
     word = "there"

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from twinloom.llm import common as C
 
 MARK, FALLBACK = "▁", 1e-6
-CHUNK = 2 << 20
+#: Bytes of text whose lattices are held at once; texts of any length are done whole, and their ids don't depend on it.
+CHUNK = 1 << 19
 
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _GOLDEN, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
