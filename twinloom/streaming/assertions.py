@@ -33,6 +33,15 @@ def assert_stream(messages: DataFrame, rule_list: list[rules.Rule], at: str = "t
     return made.dropDuplicatesWithinWatermark(["msg_id"]) if dedup else made
 
 
+def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
+    """A key's (di, ttl, exp, at_ms) in order; lists, as most keys have few rows in a batch and pandas costs a key more than its rows."""
+    parts = list(rows)
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+    by = list(zip(*([(x is None or x != x, x) for x in batch[c].tolist()] for c in order), strict=True))  # nulls last
+    made = list(zip(*(batch[c].tolist() for c in ("di", "ttl", "exp", "at_ms")), strict=True))
+    return (made[i] for i in sorted(range(len(by)), key=by.__getitem__))
+
+
 class SetProcessor(StatefulProcessor):
     """One relation set a key, in a map of destination -> (ttl, exp); every batch emits the sets that it changed.
 
@@ -112,7 +121,8 @@ class ExpiryProcessor(StatefulProcessor):
     """Retractions (ttl 0) of relations that weren't refreshed, when the watermark passes their expiry, or before that when
     the next assertion of the relation comes and is later.
 
-    State is one entry a relation and one a time at which some expire, each touched only when its time comes.
+    State is one entry a relation and one a time at which some expire, each touched only when its time comes. A batch reads and
+    writes a relation once, and only the assertion that stands after it gets a timer.
     """
 
     def __init__(self, order: list[str]):
@@ -124,26 +134,38 @@ class ExpiryProcessor(StatefulProcessor):
         self.due = handle.getMapState("due", "exp long", "di array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was: dict[str, int | None] = {}
+        held: dict[str, int | None] = {}
+        made: set[str] = set()
+        over = []
+        for di, ttl, exp, at in _in_order(rows, self.order):
+            if di not in was:
+                was[di] = held[di] = self.edges.getValue((di,))[0] if self.edges.containsKey((di,)) else None
+            if held[di] is not None and held[di] < at:
+                over.append((*key, di, 0, held[di]))
+                held[di] = None
+            if ttl > 0:
+                held[di] = int(exp)
+                made.add(di)
+            else:
+                held[di] = None
         new: dict[int, list[str]] = {}
-        late, over = [], []
-        for a in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
-            if self.edges.containsKey((a.di,)) and (exp := self.edges.getValue((a.di,))[0]) < a.at_ms:
-                over.append((*key, a.di, 0, exp))
-                self.edges.removeKey((a.di,))
-            if a.ttl > 0:
-                self.edges.updateValue((a.di,), (int(a.exp),))
-                new.setdefault(int(a.exp), []).append(a.di)
-            elif self.edges.containsKey((a.di,)):
-                self.edges.removeKey((a.di,))
+        for di, exp in held.items():
+            if exp is not None and di in made and exp <= timerValues.getCurrentWatermarkInMs():  # its timer would never come
+                over.append((*key, di, 0, exp))
+                exp = None
+            if exp is None and was[di] is not None:
+                self.edges.removeKey((di,))
+            elif exp != was[di]:
+                self.edges.updateValue((di,), (exp,))
+                new.setdefault(exp, []).append(di)
         for exp, dis in new.items():
-            if exp <= timerValues.getCurrentWatermarkInMs():  # its timer would never come
-                late += [(di, exp) for di in dict.fromkeys(dis) if self._stands(di, exp)]
-            else:
-                known = list(self.due.getValue((exp,))[0]) if self.due.containsKey((exp,)) else []
-                if not known:
-                    self.handle.registerTimer(exp)
-                self.due.updateValue((exp,), (list(dict.fromkeys([*known, *dis])),))
-        yield pd.concat([pd.DataFrame(over, columns=[*KEY, "di", "ttl", "exp"]), self._retract(key, late)])
+            known = list(self.due.getValue((exp,))[0]) if self.due.containsKey((exp,)) else []
+            if not known:
+                self.handle.registerTimer(exp)
+            self.due.updateValue((exp,), (list(dict.fromkeys([*known, *dis])),))
+        if over:
+            yield pd.DataFrame(over, columns=[*KEY, "di", "ttl", "exp"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         exp = expiredTimerInfo.getExpiryTimeInMs()
