@@ -5,7 +5,7 @@ import random
 import pandas as pd
 
 from test_streaming import Expired, Fake, FakeMap
-from twinloom.streaming.assertions import ExpiryProcessor
+from twinloom.streaming.assertions import ExpiryProcessor, SetProcessor
 
 KEY, ORDER = ("s", "u", "1", "t"), ["at_us", "event_id"]
 
@@ -56,7 +56,7 @@ def run(made, state, *batches, end=10**9):
 
 def test_state_is_asked_once_a_relation():
     rows = [("ab"[i % 2], 0 if i % 7 == 6 else 50, i) for i in range(400)]
-    for made in (ExpiryProcessor(ORDER),):
+    for made in (SetProcessor(ORDER), ExpiryProcessor(ORDER)):
         state, Counted.calls = State(), 0
         made.init(state)
         list(made.handleInputRows(KEY, iter([table(rows)]), state))
@@ -79,3 +79,19 @@ def test_expiries_in_any_batches():
         got = run(ExpiryProcessor(ORDER), state, *batches)
         assert sorted((r.di, r.ttl, r.exp) for r in got) == sorted(want)
         assert not state.maps["edges"] and not state.maps["due"]
+
+
+def test_sets_in_any_batches():
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = [(rng.choice("abc"), rng.choice([0, 3, 9]), i) for i in range(rng.randrange(1, 25))]
+        held, ts = {}, None
+        for di, ttl, at in rows:
+            if ttl:
+                held[di] = (ttl, at + ttl)
+            elif ts is not None:
+                held.pop(di, None)
+            ts = at if ttl or ts is not None else None
+        cut = rng.randrange(len(rows))
+        got = run(SetProcessor(ORDER), State(), *(b for b in (rows[:cut], rows[cut:]) if b))
+        assert [ts, held] == ([None, {}] if not got else [got[-1].ts, dict(zip(got[-1].di, zip(got[-1].ttl, got[-1].exp)))])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,47 +58,58 @@ class SetProcessor(StatefulProcessor):
         self.meta = handle.getValueState("meta", "ts long, timer long, dies long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         known = self.meta.exists()
         ts, timer, dies = self.meta.get() if known else (None, None, None)
-        for a in batch.itertuples(index=False):
-            at = int(a.at_ms)
+        was = self._held() if known else {}
+        held = dict(was)
+        for di, ttl, exp, at in _in_order(rows, self.order):
+            at = int(at)
             if known and dies is not None and at >= dies:
-                self._empty()
+                held.clear()
                 known, dies = False, None
-            if a.ttl > 0:
-                self.edges.updateValue((a.di,), (int(a.ttl), int(a.exp)))
+            if ttl > 0:
+                held[di] = (int(ttl), int(exp))
                 if not known and self.key_ttl:
-                    dies = at + key_ttl_ms(int(a.ttl))
+                    dies = at + key_ttl_ms(int(ttl))
                 known = True
-            elif known and self.edges.containsKey((a.di,)):
-                self.edges.removeKey((a.di,))
+            elif known:
+                held.pop(di, None)
             if known:
                 ts = at
+        self._keep(was, held)
         if known:
-            self.meta.update((ts, self._timer(timer, dies), dies))
-            yield self._row(key, ts)
+            self.meta.update((ts, self._timer(timer, dies, held), dies))
+            yield self._row(key, ts, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         ts, _, dies = self.meta.get()
+        was = self._held()
         if dies is not None and dies <= now:
-            self._empty()
+            self._keep(was, {})
             self.meta.clear()
-            yield self._row(key, ts, True)
+            yield self._row(key, ts, {}, True)
             return
-        for di in [k[0] for k, v in self.edges.iterator() if v[1] <= now]:
+        held = {di: v for di, v in was.items() if v[1] > now}
+        self._keep(was, held)
+        self.meta.update((ts, self._timer(None, dies, held), dies))
+        yield self._row(key, ts, held)
+
+    def _held(self) -> dict[str, tuple[int, int]]:
+        """The set as it stands, read once: a call to the state costs more than a row's work."""
+        return {k[0]: (v[0], v[1]) for k, v in self.edges.iterator()}
+
+    def _keep(self, was: dict[str, tuple[int, int]], held: dict[str, tuple[int, int]]) -> None:
+        """Write what a batch changed, once a relation."""
+        for di in was.keys() - held.keys():
             self.edges.removeKey((di,))
-        self.meta.update((ts, self._timer(None, dies), dies))
-        yield self._row(key, ts)
-
-    def _empty(self) -> None:
-        for k in [k for k, _ in self.edges.iterator()]:
-            self.edges.removeKey(k)
+        for di, v in held.items():
+            if was.get(di) != v:
+                self.edges.updateValue((di,), v)
 
-    def _timer(self, timer: int | None, dies: int | None) -> int | None:
+    def _timer(self, timer: int | None, dies: int | None, held: dict[str, tuple[int, int]]) -> int | None:
         """One timer at the least expiry."""
-        least = min((v[1] for _, v in self.edges.iterator()), default=None) if self.expire else None
+        least = min((exp for _, exp in held.values()), default=None) if self.expire else None
         least = dies if least is None or dies is not None and dies < least else least
         if timer is not None and timer != least:
             self.handle.deleteTimer(timer)
@@ -107,11 +117,9 @@ class SetProcessor(StatefulProcessor):
             self.handle.registerTimer(least)
         return least
 
-    def _row(self, key, ts, gone: bool = False) -> pd.DataFrame:
-        got: list[tuple] = []
-        for k, v in self.edges.iterator():
-            bisect.insort(got, (k[0].encode(), k[0], v[0], v[1]))
-        return pd.DataFrame([{**dict(zip(KEY, key, strict=True)), "ts": ts, "di": [x[1] for x in got], "ttl": [x[2] for x in got], "exp": [x[3] for x in got], "gone": gone}])
+    def _row(self, key, ts, held: dict[str, tuple[int, int]], gone: bool = False) -> pd.DataFrame:
+        got = sorted(held.items(), key=lambda x: x[0].encode())
+        return pd.DataFrame({**{c: [k] for c, k in zip(KEY, key, strict=True)}, "ts": [ts], "di": [[di for di, _ in got]], "ttl": [[v[0] for _, v in got]], "exp": [[v[1] for _, v in got]], "gone": [gone]})
 
     def close(self) -> None:
         pass
